@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe_codec import op4_bpe_codec
+from .language_id import op2_language_id
+from .token_files import op6_token_files
 
 
 def queries() -> dict:
-    found = [op4_bpe_codec]
+    found = [op2_language_id, op4_bpe_codec, op6_token_files]
     return {f.__name__: f for f in found}
 
 
