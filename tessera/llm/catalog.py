@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from .ann import op7_ann
 from .bpe_codec import op4_bpe_codec
+from .exact_search import OP1_SQL, op1_exact_top_k
 from .language_id import op2_language_id
 from .token_files import op6_token_files
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    found = [op2_language_id, op4_bpe_codec, op6_token_files]
+    found = [op1_exact_top_k, op2_language_id, op4_bpe_codec, op6_token_files, op7_ann, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_top_k": OP1_SQL}
