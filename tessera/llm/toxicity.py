@@ -154,7 +154,7 @@ def count_terms(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
     return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_examples: int = 1500, considered: int = 50_000, most_terms: int = 3000, least_rows: int = 4, least_share: float = 0.01, least_z: float = 4.0, least_ratio: float = 8.0) -> ToxicityModel | None:
+def fit(documents: DataFrame, labels: DataFrame, most_examples: int = 1500, considered: int = 50_000, most_terms: int = 3000, least_rows: int = 4, least_share: float = 0.03, least_z: float = 6.0, least_ratio: float = 8.0) -> ToxicityModel | None:
     """Learn from documents (doc_id, text) and labels (doc_id, toxic). Bounds, all parameters: the
     ``considered`` terms that most toxic rows hold, ``most_terms`` of them in the vocabulary,
     ``most_examples`` examples of each label, those whose hashed ids come first. A term needs
