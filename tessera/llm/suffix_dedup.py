@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import flat_text, mixed, n_partitions, table, text_bytes
 
@@ -273,13 +274,15 @@ def spans_of_repeats(docs: DataFrame, parts: int, homes: int, hot: int) -> DataF
     return texts.groupBy("part").applyInArrow(settle, "home long, part long, blob binary")
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary: the bytes that stay), a row each."""
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary: the bytes that stay), a row each, and
+    the columns ``carry`` as they are."""
     spark = df.sparkSession
     size = text_bytes(df, text)
     homes = max(n_partitions(spark), -(-size // HOME_BYTES))
     parts = max(n_partitions(spark), -(-size // PART_BYTES))
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("home", F.pmod(F.xxhash64("id"), F.lit(homes)))
+    carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *carried).withColumn("home", F.pmod(F.xxhash64("id"), F.lit(homes)))
     spans = spans_of_repeats(docs, parts, homes, hot=max(32, homes // 4))
 
     def remove(t: pa.Table, found: pa.Table) -> pa.Table:
@@ -298,9 +301,31 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
         kept = home.flat[~gone]
         offsets = np.concatenate([[0], np.cumsum(n - removed)]).astype(np.int64)
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-        return pa.table([home.rows.column("id"), pa.array(n), pa.array(removed), pa.array(spans_n), raw], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return docs.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        rest = [home.rows.column(f"carry_{i}") for i in range(len(carry))]
+        return pa.table([home.rows.column("id"), pa.array(n), pa.array(removed), pa.array(spans_n), raw, *rest], names=out.fieldNames())
+
+    out = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    for i, c in enumerate(carry):
+        out.add(f"carry_{i}", df.schema[c].dataType)
+    found = docs.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(remove, out)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
+
+
+def dedup_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``df`` with the repeats taken out of its texts. A character that lost some of its bytes goes
+    altogether; a null text stays null; all other columns stay."""
+    others = tuple(c for c in df.columns if c not in (text, doc_id))
+    found = dedup(df.withColumn("__null", F.col(text).isNull()), text, doc_id, (*others, "__null"))
+    kept = found.select("doc_id", "kept", "__null", *others)
+    schema = kept.schema
+
+    def read(batches):
+        for b in batches:
+            texts = [None if null else k.decode("utf-8", "ignore") for k, null in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[3:]], names=[doc_id, text, *others])
+
+    out = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField(text, T.StringType()), *schema.fields[3:]])
+    return kept.mapInArrow(read, out).select(*df.columns)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
