@@ -38,8 +38,10 @@ from .common import flat_text, mixed, n_partitions, table, text_bytes
 LENGTH = 50
 GRAM = 16
 CHUNK = 1 << 19
-HOME_BYTES = 16 << 20
+#: Bytes of text for each home group, each part of the hashes, and each part of the strings.
+HOME_BYTES = 8 << 20
 PART_BYTES = 48 << 20
+FINE_BYTES = 3 << 20
 
 
 def words_at(flat: np.ndarray, n: int) -> np.ndarray:
@@ -85,31 +87,33 @@ def anchors(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def refined_buckets(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A number for each start: equal where the LENGTH bytes from there are equal."""
     n = len(text)
-    key = words_at(np.concatenate([text, np.zeros(8, np.uint8)]), n)
-    order = np.argsort(key, kind="stable")
-    bucket = np.empty(n, np.int64)
-    sorted_key = key[order]
-    bucket[order] = np.cumsum(np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])) if n else 0
+    bucket = numbered(words_at(np.concatenate([text, np.zeros(8, np.uint8)]), n))
     depth = 8
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)
         size = np.bincount(bucket)
-        open_ = np.flatnonzero(size[bucket] > 1)  # buckets of one are settled
-        open_ = open_[open_ + step < n]
+        open_ = np.flatnonzero(size[bucket[: n - step]] > 1).astype(np.int32)  # buckets of one are settled
         if not len(open_):
             break
-        old, later = bucket[open_], bucket[open_ + step]
-        order = np.lexsort((later, old))
-        o, t = old[order], later[order]
-        new = np.ones(len(open_), bool)
-        new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
-        fresh = bucket.copy()
-        fresh[open_[order]] = int(bucket.max()) + np.cumsum(new)
-        bucket = np.unique(fresh, return_inverse=True)[1] if fresh.max() > 4 * n else fresh
+        top = len(size)
+        fresh = numbered(bucket[open_].astype(np.int64) * top + bucket[open_ + np.int32(step)])
+        bucket = bucket.copy()  # what lies further on is read as it was at this depth
+        bucket[open_] = fresh + np.int32(top)
+        bucket = numbered(bucket) if int(bucket.max()) > 4 * n else bucket
         depth += step
     return bucket[starts]
 
 
+def numbered(key: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the order of the keys, equal for equal keys."""
+    out = np.zeros(len(key), np.int32)
+    if len(key):
+        order = np.argsort(key)
+        key = key[order]
+        out[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
+    return out
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -166,7 +170,7 @@ def sent_hashes(home: Home, parts: int):
     return unique, least != most, cut, place, (doc, start, size)
 
 
-def spans_of_repeats(docs: DataFrame, parts: int, homes: int, hot: int) -> DataFrame:
+def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFrame:
     """home, spans: for each home group the documents' places, starts and stops of what goes."""
     blob = "part long, home long, blob binary"
 
@@ -211,18 +215,18 @@ def spans_of_repeats(docs: DataFrame, parts: int, homes: int, hot: int) -> DataF
             twice[cut[p] : cut[p + 1]] = np.unpackbits(x, count=n)
             crowded[cut[p] : cut[p + 1]] = np.unpackbits(y, count=n)
         use = twice[place]
-        part, doc, start, size, many = part_of(unique, parts)[place][use], doc[use], start[use], size[use], crowded[place][use]
+        part, doc, start, size, many = part_of(unique, fine)[place][use], doc[use], start[use], size[use], crowded[place][use]
         if many.any():  # each string by itself
             n = size[many]
             row = np.repeat(np.flatnonzero(many), n)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             own = start[row] + nth
-            part = np.concatenate([part[~many], part_of(string_hash(home.flat, own), parts)])
+            part = np.concatenate([part[~many], part_of(string_hash(home.flat, own), fine)])
             doc, start = np.concatenate([doc[~many], doc[row]]), np.concatenate([start[~many], own])
             size = np.concatenate([size[~many], np.ones(len(row), np.int64)])
         raw, out = home.flat.tobytes(), []
         order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        edges = np.searchsorted(part[order], np.arange(fine + 1))
         for p, (a, b) in enumerate(zip(edges, edges[1:])):
             if b == a:
                 continue
@@ -283,20 +287,24 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tupl
     parts = max(n_partitions(spark), -(-size // PART_BYTES))
     carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *carried).withColumn("home", F.pmod(F.xxhash64("id"), F.lit(homes)))
-    spans = spans_of_repeats(docs, parts, homes, hot=max(32, homes // 4))
+    fine = max(n_partitions(spark), -(-size // FINE_BYTES))
+    spans = spans_of_repeats(docs, parts, fine, hot=max(32, homes // 4))
 
     def remove(t: pa.Table, found: pa.Table) -> pa.Table:
         home = Home(t)
         n = np.diff(home.bounds)
-        edge = np.zeros(len(home.flat) + 1, np.int64)
+        edge = np.zeros(len(home.flat) + 1, np.int32)
         for b in found.column("blob").to_pylist():
             doc, start, stop = parted(b, np.int32, np.int64, np.int64)
             np.add.at(edge, home.bounds[doc] + start, 1)
             np.add.at(edge, home.bounds[doc] + stop, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        del edge
         begins = gone.copy()
-        begins[1:] &= ~gone[:-1] | np.isin(np.arange(1, len(gone)), home.bounds)
-        gone_to, begins_to = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
+        begins[1:] &= ~gone[:-1]
+        first = home.bounds[:-1][n > 0]
+        begins[first] = gone[first]
+        gone_to, begins_to = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (gone, begins))
         removed, spans_n = np.diff(gone_to[home.bounds]), np.diff(begins_to[home.bounds])
         kept = home.flat[~gone]
         offsets = np.concatenate([[0], np.cumsum(n - removed)]).astype(np.int64)
