@@ -78,7 +78,7 @@ def anchors(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         first = np.flatnonzero(new & whole)
         run = np.cumsum(new) - 1
         size = np.bincount(run[whole], minlength=int(run[-1]) + 1)[run[first]]
-        out.append((h[at[first]], doc[first], start[first], size))
+        out.append((mixed(h[at[first]] + np.uint64(GRAM)), doc[first], start[first], size))  # least hashes are small: spread anew
     if not out:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))
