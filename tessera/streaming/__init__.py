@@ -1,0 +1 @@
+"""No streaming operators: documents are answered over batch DataFrames only."""
