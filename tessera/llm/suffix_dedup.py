@@ -37,11 +37,15 @@ from .common import flat_text, mixed, n_partitions, table, text_bytes
 
 LENGTH = 50
 GRAM = 16
+#: The first buckets are of strings of half the length.
+FIRST = LENGTH // 2
 CHUNK = 1 << 19
 #: Bytes of text for each home group, each part of the hashes, and each part of the strings.
 HOME_BYTES = 8 << 20
 PART_BYTES = 48 << 20
 FINE_BYTES = 3 << 20
+#: Home groups that hold an anchor before its strings are dealt one by one.
+HOT_HOMES = 512
 
 
 def words_at(flat: np.ndarray, n: int) -> np.ndarray:
@@ -84,24 +88,40 @@ def anchors(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def gram_hashes(text: np.ndarray) -> np.ndarray:
+    """Of the FIRST bytes from each place that has as many."""
+    n = len(text) - FIRST + 1
+    w = words_at(np.concatenate([text, np.zeros(8, np.uint8)]), len(text))
+    h = np.full(n, FIRST, np.uint64)
+    for k in [*range(0, FIRST - 8, 8), FIRST - 8]:
+        h = mixed(h * np.uint64(0x9FB21C651E98DF25) + w[k : k + n])
+    return h
+
+
 def refined_buckets(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A number for each start: equal where the LENGTH bytes from there are equal."""
-    n = len(text)
-    bucket = numbered(words_at(np.concatenate([text, np.zeros(8, np.uint8)]), n))
-    depth = 8
+    """A number for each start: equal where the LENGTH bytes from there are equal. Buckets of
+    FIRST-grams are refined by the bucket numbers at later offsets, which makes them up to twice as
+    deep; the new numbers serve the next round. Buckets of one suffix are settled."""
+    gaps, depth = [0], LENGTH
+    while depth > FIRST:  # the offsets whose buckets the rounds will read
+        step = max(FIRST, -(-depth // 2))
+        gaps = sorted({*gaps, *(g + depth - step for g in gaps)})
+        depth = step
+    n, h = len(starts), gram_hashes(text)
+    bucket = dict(zip(gaps, numbered(np.concatenate([h[starts + g] for g in gaps])).reshape(len(gaps), n)))
+    depth = FIRST
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)
-        size = np.bincount(bucket)
-        open_ = np.flatnonzero(size[bucket[: n - step]] > 1).astype(np.int32)  # buckets of one are settled
-        if not len(open_):
-            break
-        top = len(size)
-        fresh = numbered(bucket[open_].astype(np.int64) * top + bucket[open_ + np.int32(step)])
-        bucket = bucket.copy()  # what lies further on is read as it was at this depth
-        bucket[open_] = fresh + np.int32(top)
-        bucket = numbered(bucket) if int(bucket.max()) > 4 * n else bucket
-        depth += step
-    return bucket[starts]
+        deeper = {}
+        for g in [g for g in gaps if g + step in bucket]:
+            own, later = bucket[g], bucket[g + step]
+            top = int(own.max()) + 1
+            open_ = np.flatnonzero(np.bincount(own)[own] > 1)
+            fresh = numbered(own[open_].astype(np.int64) * (int(later.max()) + 1) + later[open_])
+            deeper[g] = own.copy()
+            deeper[g][open_] = fresh + np.int32(top)
+        bucket, depth = deeper, depth + step
+    return bucket[0]
 
 
 def numbered(key: np.ndarray) -> np.ndarray:
@@ -233,12 +253,13 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             at = order[a:b]
             texts: dict[bytes, int] = {}
             number = np.fromiter((texts.setdefault(raw[s : s + n], len(texts)) for s, n in zip(start[at].tolist(), (size[at] + LENGTH - 1).tolist())), np.int32, b - a)
-            out.append((p, home.home, joined(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int32, len(texts)), number, doc[at].astype(np.int32), (start[at] - home.bounds[doc[at]]).astype(np.int64), home.ids[doc[at]])))
+            docs_here, nth_doc = np.unique(doc[at], return_inverse=True)
+            out.append((p, home.home, joined(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int32, len(texts)), number, nth_doc.astype(np.int32), (start[at] - home.bounds[doc[at]]).astype(np.uint32), docs_here.astype(np.int32), home.ids[docs_here])))
         return rows("part", out)
 
     def settle(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        found = [parted(b, np.uint8, np.int32, np.int32, np.int32, np.int64, np.int64) for b in t.column("blob").to_pylist()]
+        found = [parted(b, np.uint8, np.int32, np.int32, np.int32, np.uint32, np.int32, np.int64) for b in t.column("blob").to_pylist()]
         text = np.concatenate([f[0] for f in found])
         size = np.concatenate([f[1] for f in found]).astype(np.int64)
         begin = np.cumsum(size) - size
@@ -248,7 +269,7 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
         bucket = refined_buckets(text, starts)
         seen = np.cumsum([0, *(len(f[1]) for f in found)])
         number = np.concatenate([f[2] + s for f, s in zip(found, seen)])
-        ids = np.concatenate([f[5] for f in found])
+        ids = np.concatenate([f[6][f[3]] for f in found])
         own = np.full(len(size), 2**63 - 1)
         np.minimum.at(own, number, ids)
         least = np.full(int(bucket.max()) + 1, 2**63 - 1)
@@ -262,7 +283,7 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             count = strings[mine]
             row = np.repeat(np.arange(n), count)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            goes = least[first[mine][row] + nth] < f[5][row]
+            goes = least[first[mine][row] + nth] < f[6][f[3]][row]
             row, nth = row[goes], nth[goes]
             if not len(row):
                 continue
@@ -270,7 +291,7 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             new[1:] = (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(row)) - 1
-            out.append((home, part, joined(f[3][row[a]], f[4][row[a]] + nth[a], f[4][row[b]] + nth[b] + LENGTH)))
+            out.append((home, part, joined(f[5][f[3]][row[a]], f[4][row[a]] + nth[a], f[4][row[b]] + nth[b] + LENGTH)))
         return rows("home", out)
 
     answers = docs.groupBy("home").applyInArrow(send, blob).groupBy("part").applyInArrow(answer, "home long, part long, blob binary")
@@ -288,7 +309,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tupl
     carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *carried).withColumn("home", F.pmod(F.xxhash64("id"), F.lit(homes)))
     fine = max(n_partitions(spark), -(-size // FINE_BYTES))
-    spans = spans_of_repeats(docs, parts, fine, hot=max(32, homes // 4))
+    spans = spans_of_repeats(docs, parts, fine, hot=HOT_HOMES)
 
     def remove(t: pa.Table, found: pa.Table) -> pa.Table:
         home = Home(t)
