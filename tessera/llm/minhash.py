@@ -8,8 +8,9 @@ with a probability of 5e-6. Links are confirmed on the full sets.
 
 Equal sets are one class from the start, so copies are never compared. In each bucket of a band the
 classes are compared with its smallest one, then, where that leaves several groups, with its largest
-one, and at last, where several groups remain, across these groups, so no link that could join two
-groups is left out and a bucket of near copies doesn't become all its pairs. What a bucket holds is
+one, and at last, where several groups remain, across these groups by the rarest shingles of each set
+(an exact prefix filter), so no link that could join two groups is left out and a bucket of near
+copies doesn't become all its pairs. What a bucket holds is
 aggregated before it is dealt out; a comparison's texts are dealt by the other side and a salt.
 
 Defined cases: a text without words (null, empty, white space) has an empty set, no links and its own
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ from .common import flat_text, mixed, n_partitions, sliced, stored, table
 SHINGLE = 5
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
+CELLS = 1 << 18
+WORDS = 16
 GOLDEN = 0x9E3779B97F4A7C15
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0xB492B66FBE98F273
@@ -281,9 +286,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if step == "high":
             found = members.filter("rep <> high").select(F.col("rep").alias("a"), F.col("high").alias("b")).distinct()
         else:
-            one, two = members.alias("one"), members.alias("two")
-            near = (F.col("one.key") == F.col("two.key")) & (F.col("one.label") < F.col("two.label")) & (100 * F.least("one.n", "two.n") >= percent * F.greatest("one.n", "two.n"))
-            found = one.join(two, near).select(F.greatest("one.rep", "two.rep").alias("a"), F.least("one.rep", "two.rep").alias("b")).distinct()
+            found = across(members.select("rep", "n", "label").distinct(), texts, percent)
         found = stored(sized(found).join(pairs, ["a", "b"], "left_anti"))
         edges = edges.union(verified(found, texts, percent))
         pairs = pairs.union(found)
@@ -293,6 +296,69 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How often shingles of each of CELLS hash cells occur in the texts: an order for prefixes. The
+    table has a fixed size; whatever it says, the prefixes stay exact."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in sliced(batches, "text"):
+            for s in shingle_sets(b.column(0)):
+                np.add.at(total, (s % np.uint64(CELLS)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([x.tobytes() for x in np.split(total, 32)], pa.binary())], names=["part", "cells"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in t.column("cells").to_pylist())
+        return pa.table([t.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "cells"])
+
+    rows = texts.select("text").mapInArrow(count, "part int, cells binary").groupBy("part").applyInArrow(summed, "part int, cells binary").collect()
+    return np.concatenate([np.frombuffer(r["cells"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(CELLS, np.int64)
+
+
+def across(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of classes (rep, n, label) with different labels: two sets of the wanted
+    similarity share one of the rarest n - ceil(percent * n / 100) + 1 shingles of each. Near copies
+    that differ in more than that share none. Of the others only those pairs come out that bitmaps of
+    both sets allow, so a group of near copies isn't emitted as pairs."""
+    own = stored(texts.join(members.withColumnRenamed("rep", "id"), "id").select("text", "id", "n", "label"))
+    cells = rarity(own)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            rows, found = [], []
+            for i, s in enumerate(shingle_sets(b.column(0))):
+                keep = len(s) - -(-percent * len(s) // 100) + 1
+                order = np.lexsort((s, cells[(s % np.uint64(CELLS)).astype(np.int64)]))[:keep]
+                rows.append(np.full(len(order), i))
+                found.append(s[order])
+            at = pa.array(np.concatenate(rows) if rows else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64()), *(b.column(k).take(at) for k in (1, 2, 3))], names=["shingle", "id", "n", "label"])
+
+    rare = own.mapInArrow(prefixes, "shingle long, id long, n long, label long")
+    several = rare.groupBy("shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("shingle")
+    maps = [f"w{k}" for k in range(WORDS)]
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            bits = np.zeros((b.num_rows, 64 * WORDS), bool)
+            for i, s in enumerate(shingle_sets(b.column(0))):
+                bits[i, (mixed(s) % np.uint64(64 * WORDS)).astype(np.int64)] = True
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(words[:, k]) for k in range(WORDS))], names=["id", *maps])
+
+    held = own.select("text", "id").mapInArrow(bitmaps, "id long, " + ", ".join(f"{m} long" for m in maps))
+    rare = stored(rare.join(several, "shingle").join(held, "id"))
+    one, two = rare.alias("one"), rare.alias("two")
+    both = F.col("one.n") + F.col("two.n")
+    # Bits that differ are at most the shingles that do, so they bound the intersection from above.
+    differ = reduce(add, (F.bit_count(F.col(f"one.{m}").bitwiseXOR(F.col(f"two.{m}"))) for m in maps))
+    near = (
+        (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.label") < F.col("two.label"))
+        & (100 * F.least("one.n", "two.n") >= percent * F.greatest("one.n", "two.n")) & ((both - differ) * (100 + percent) >= 2 * percent * both)
+    )
+    return one.join(two, near).select(F.greatest("one.id", "two.id").alias("a"), F.least("one.id", "two.id").alias("b")).distinct()
+
+
 def keyed_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """id, text: for each class (rep, set_key) one text of that id whose set has that key."""
 
