@@ -135,8 +135,9 @@ def replaced(results: Results, found: Any) -> Results:
                 wanted = [*x.keys, *(m.column for m in x.metrics if m.column not in x.keys)]
                 spark = x.df.sparkSession
                 if rows:
-                    data = [{c: r.get(c) for c in wanted} for r in rows]
-                    rows = spark.createDataFrame([tuple(d[c] for c in wanted) for d in data], ", ".join(f"`{c}` {kind([d[c] for d in data])}" for c in wanted))
+                    kinds = {c: kind([r.get(c) for r in rows]) for c in wanted}
+                    data = [tuple(None if r.get(c) is None else CASTS[kinds[c]](r[c]) for c in wanted) for r in rows]
+                    rows = spark.createDataFrame(data, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
                 else:
                     rows = x.df.limit(0)
             new.append(replace(x, df=rows))
@@ -144,6 +145,9 @@ def replaced(results: Results, found: Any) -> Results:
     return out
 
 
+CASTS = {"boolean": bool, "long": int, "double": float, "string": str}
+
+
 def kind(values: list) -> str:
     values = [v for v in values if v is not None]
     if values and all(isinstance(v, bool) for v in values):
