@@ -38,7 +38,7 @@ class WordEncoder:
     #: White space to Python, not to the tokenizer's patterns.
     ODD = "\x1c\x1d\x1e\x1f"
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,8 +78,8 @@ class WordEncoder:
                 split.append(t.split() if t else [])
         known = self.place
         new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in known]
-        if new:
-            self.learn(new)
+        for s in range(0, len(new), 8_192):
+            self.learn(new[s : s + 8_192])
         count = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter((known[w] for words in split for w in words), np.int64, int(count.sum()))
         start, stop = self.ends[at], self.ends[at + 1]
