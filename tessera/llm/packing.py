@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 64
@@ -64,7 +64,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
 def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, doc_id: str = "doc_id", n_tokens: str = "n_tokens") -> DataFrame:
     """doc_id, piece, doc_start, n_tokens of the piece, bin_id, bin_start, bin_used, bin_capacity."""
     kind = df.schema[doc_id].dataType.simpleString()
-    rows = df.select(doc_id, F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)).alias("n"))
+    rows = stored(df.select(doc_id, F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)).alias("n")))
     shards = max(1, -(-rows.count() // SHARD_DOCS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col(doc_id), F.lit(8)), F.lit(shards)))
     largest = max(capacities)
