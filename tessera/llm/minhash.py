@@ -277,9 +277,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     )
     pairs = stored(sized(buckets.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()))
-    edges = verified(pairs, texts, percent)
+    labels = components(verified(pairs, texts, percent))
     for step in ("high", "across"):
-        labels = components(edges)
         members = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         several = members.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("key")
         members = stored(members.join(several, "key").select("key", "rep", "n", "label", "high"))
@@ -288,9 +287,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         else:
             found = across(members.select("rep", "n", "label").distinct(), texts, percent)
         found = stored(sized(found).join(pairs, ["a", "b"], "left_anti"))
-        edges = edges.union(verified(found, texts, percent))
+        new = verified(found, texts, percent)
         pairs = pairs.union(found)
-    labels = components(edges)
+        if new.limit(1).count():  # components so far stand for their links
+            labels = components(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
     of_set = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
     out = rows.drop("bands").join(of_set, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
