@@ -8,8 +8,10 @@ document with the smallest id.
 
 Lines travel as hashes; only the lines of leaves that hold several different ones are read as text,
 once each. Counts by (template, document) are aggregated before they are dealt out, so a line that
-stands in a third of all documents is one row for each task. A leaf with more than ``crowded``
-different lines is one level deeper for each such factor, so no task gets an unbounded leaf.
+stands in a third of all documents is one row for each task. A leaf is one task at every size, as its
+lines are taken one after the other; where more than ``crowded`` different lines meet, an index finds
+the templates a line may join, with the same result. That bounds the time, not the leaf: a task holds
+all different lines of its leaf.
 
 Defined cases: lines of fewer than ``least_tokens`` tokens (empty ones too) are never dropped; null
 and empty texts stay as they are; a line repeated inside one document counts once, and is dropped as
@@ -21,6 +23,7 @@ and only the text changes; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -52,31 +55,81 @@ def leaf_key(tokens: list[str], depth: int) -> int:
     return number(str(len(tokens)), *tokens[:depth])
 
 
-def templates(lines: list[list[str]], weight: list[int], alike: float) -> list[int]:
-    """The template of each line of one leaf (lines of equal length). Lines come by falling weight;
-    each joins the template with most equal tokens, if these are the share ``alike`` at least
-    (variable fields don't count as equal, nor as different), and else begins a new one."""
-    order = sorted(range(len(lines)), key=lambda i: (-weight[i], lines[i]))
-    words = {FIELD: 0}
-    at = np.array([[words.setdefault(t, len(words)) for t in x] for x in lines], np.int64).reshape(len(lines), -1)
-    known, of, n = np.zeros_like(at), [0] * len(lines), 0
+class TemplateIndex:
+    """Templates by their token at each place, apart by how many variable fields they have, so that a
+    line meets every template it may join without a look at the others."""
+
+    def __init__(self, length: int, words: int, alike: float):
+        self.length, self.words, self.alike = length, words, alike
+        self.held: dict[int, dict[int, list[int]]] = {}
+        self.fields: dict[int, int] = {}
+
+    def keys(self, line: np.ndarray) -> list[int]:
+        places = np.flatnonzero(line)
+        return (places * self.words + line[places]).tolist()
+
+    def put(self, k: int, template: np.ndarray) -> None:
+        """A new template, or one that has more variable fields now: what it left behind is passed over."""
+        keys = self.keys(template)
+        self.fields[k] = self.length - len(keys)
+        own = self.held.setdefault(self.fields[k], {})
+        for p in keys:
+            own.setdefault(p, []).append(k)
+
+    def near(self, line: np.ndarray) -> np.ndarray:
+        """All templates the line may join: one with ``least`` equal tokens has one of them at any
+        len(keys) - least + 1 places, so the places with the rarest tokens are enough."""
+        keys, found = self.keys(line), set()
+        for fields, own in self.held.items():
+            least = math.ceil(self.alike * max(self.length / 2, len(keys) - fields) - 1e-9)
+            for some in sorted((own.get(p, ()) for p in keys), key=len)[: max(0, len(keys) - least + 1)]:
+                found.update(k for k in some if self.fields[k] == fields)
+        return np.array(sorted(found), np.int64)
+
+
+def templates(at: np.ndarray, order: list[int], alike: float, crowded: int) -> np.ndarray:
+    """The template of each line of one leaf (a row of token numbers each, 0 for a variable field).
+    Lines come by ``order``; each joins the template with most equal tokens, if these are the share
+    ``alike`` at least (variable fields don't count as equal, nor as different), and else begins a
+    new one. More than ``crowded`` lines are held against an index, with the same result."""
+    known, of, n = np.zeros_like(at), np.zeros(len(at), np.int64), 0
+    index = TemplateIndex(at.shape[1], int(at.max()) + 1, alike) if len(at) > crowded else None
     for i in order:
         line = at[i]
-        if n:
-            same = ((known[:n] == line) & (line != 0)).sum(axis=1)
-            free = ((known[:n] == 0) | (line == 0)).sum(axis=1)
+        which = index.near(line) if index else np.arange(n)
+        if len(which):
+            held = known[which] if index else known[:n]
+            same = ((held == line) & (line != 0)).sum(axis=1)
+            free = ((held == 0) | (line == 0)).sum(axis=1)
             share = same / np.maximum(at.shape[1] - free, 1)
             share[same < alike / 2 * at.shape[1]] = 0
-            k = int(share.argmax())
-            if share[k] >= alike:
-                known[k][known[k] != line] = 0
-                of[i] = k
+            best = int(share.argmax())
+            if share[best] >= alike:
+                of[i] = k = int(which[best])
+                other = (known[k] != line) & (known[k] != 0)
+                if other.any():
+                    known[k][other] = 0
+                    if index:
+                        index.put(k, known[k])
                 continue
         known[n], of[i] = line, n
+        if index:
+            index.put(n, line)
         n += 1
     return of
 
 
+def coded(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of equal length as rows of token numbers (0 for a variable field), and as ranks of their tokens."""
+    words = tokens.flatten().dictionary_encode()
+    names = words.dictionary.to_pylist()
+    rank = np.empty(len(names), np.int32)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names), dtype=np.int32)
+    number = np.array([0 if x == FIELD else i + 1 for i, x in enumerate(names)], np.int32)
+    at = words.indices.to_numpy().reshape(len(tokens), -1)
+    return number[at], rank[at]
+
+
 def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_docs: int = 3, least_tokens: int = 4, depth: int = 3, alike: float = 0.8, crowded: int = 2000) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped, and no other change."""
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -99,7 +152,7 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     held = stored(source.mapInArrow(read, f"id {id_type}, leaf long, line long"))
     lines = held.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("n").alias("n_leaf")).filter((F.col("different") > 1) & (F.col("n_leaf") >= least_docs))
-    wanted = lines.join(leaves, "leaf").groupBy("first").agg(F.collect_list(F.struct("line", "n", "different")).alias("wanted"))
+    wanted = lines.join(leaves, "leaf").groupBy("first").agg(F.collect_list(F.struct("line", "n")).alias("wanted"))
     texts = source.join(wanted, source["id"] == wanted["first"]).select("text", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,25 +163,21 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
                 for line in t.split("\n"):
                     tokens = masked(line)
                     if len(tokens) >= least_tokens and (w := open_.pop(line_key(tokens), None)):
-                        deeper, n = depth, w["different"]
-                        while n > crowded:
-                            deeper, n = deeper + depth, n // crowded
                         keys.append(w["line"])
-                        groups.append(leaf_key(tokens, deeper))
+                        groups.append(leaf_key(tokens, depth))
                         found.append(tokens)
                         counts.append(w["n"])
             yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=["leaf", "line", "tokens", "n"])
 
     def group(t: pa.Table) -> pa.Table:
-        unique = {}
-        for key, tokens, n in zip(t.column("line").to_pylist(), t.column("tokens").to_pylist(), t.column("n").to_pylist()):
-            unique[key] = (tokens, n)  # a repeated doc_id gives its lines twice
-        keys = list(unique)
-        of = templates([unique[k][0] for k in keys], [unique[k][1] for k in keys], alike)
-        least: dict[int, int] = {}
-        for k, o in zip(keys, of):
-            least[o] = min(k, least.get(o, k))
-        return pa.table([pa.array(keys, pa.int64()), pa.array([least[o] for o in of], pa.int64())], names=["line", "template"])
+        t = t.take(np.unique(t.column("line").to_numpy(), return_index=True)[1])  # a repeated doc_id gives its lines twice
+        keys = t.column("line").to_numpy()
+        at, rank = coded(t.column("tokens").combine_chunks())
+        order = np.lexsort([*rank.T[::-1], -t.column("n").to_numpy()]).tolist()
+        of = templates(at, order, alike, crowded)
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, keys)
+        return pa.table([pa.array(keys, pa.int64()), pa.array(least[of], pa.int64())], names=["line", "template"])
 
     several = texts.mapInArrow(fetch, "leaf long, line long, tokens array<string>, n long").groupBy("leaf").applyInArrow(group, "line long, template long")
     several = stored(several.filter("line <> template"))

@@ -233,6 +233,27 @@ def test_line_templates(spark, odd, none):
     assert out.columns == odd.columns and out.count() == len(ODD) and line_templates.drop_lines(none).count() == 0
 
 
+def word(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_line_templates_in_a_crowded_leaf(spark):
+    rows = [(i, f"Posted by user {word(i)} from the main office today") for i in range(2001)]
+    kept = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("text <> ''").collect()
+    assert [x.doc_id for x in kept] == [0]
+    for seed, length in ((1, 4), (2, 9), (3, 20)):
+        r = np.random.default_rng(seed)
+        base = r.integers(0, 6, (40, length), np.int32)
+        at = base[r.integers(0, 40, 1500)]
+        at[r.random(at.shape) < 0.12] = 0
+        other = r.random(at.shape) < 0.12
+        at[other] = r.integers(1, 60, other.sum())
+        at = np.unique(at, axis=0)
+        order = r.permutation(len(at)).tolist()
+        for alike in (0.5, 0.8, 0.95):
+            assert np.array_equal(line_templates.templates(at, order, alike, 0), line_templates.templates(at, order, alike, len(at)))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
