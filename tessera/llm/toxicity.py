@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their first 4 and 5 letters. Counts of terms by label cover every labelled row;
-the vocabulary holds the terms that labels tell apart (a z-score of their shares). Examples are a
-bounded sample of the labelled rows that hold such a term, and lie in an inverted index whose
-postings are cut into blocks of examples with the largest weight of each block: blocks are taken by
-falling bound until none can reach the k-th similarity, so the k nearest are exact. Votes are
-weighted by similarity and pulled towards the labelled rows' own rates, which calibrates the score;
-the nearest examples come along as evidence.
+the vocabulary holds the terms that labels tell apart (an exact test that goes by the number of
+rows, and the ratio of their shares). Examples are a bounded sample of the labelled rows that hold
+such a term, and lie in an inverted index whose postings are cut into blocks of examples with the
+largest weight of each block: blocks are taken by falling bound until none can reach the k-th
+similarity, so the k nearest are exact. Votes are weighted by similarity and pulled towards the
+labelled rows' own rates, which calibrates the score; the nearest examples come along as evidence.
 
 Defined cases: a text without vocabulary terms (null and empty ones too) scores the toxic share of
 the labelled rows that have none; without labelled rows every score is 0; a row with several
@@ -126,56 +126,90 @@ class ToxicityModel:
         return min(1.0, (up + pull * self.rate) / (up + down + pull)), [(self.ids[i], s, self.toxic[i]) for s, i in near]
 
 
-def count_terms(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """term, n: rows of ``text`` that hold each term (of ``only``, if given)."""
+def count_terms(rows: DataFrame) -> DataFrame:
+    """term, n1, n0: toxic and other rows of (text, toxic) that hold each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total: tuple[Counter, Counter] = (Counter(), Counter())
         seen: Memory = Memory(300_000)
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-            total.clear()
+            terms = list(total[0].keys() | total[1].keys())
+            b = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([total[c][t] for t in terms], pa.int64()) for c in (1, 0))], names=["term", "n1", "n0"])
+            total[0].clear()
+            total[1].clear()
             return b
 
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 mine: set[str] = set()
                 for piece in set((text or "").lower().split()):
                     found = seen.get(piece)
                     if found is None and (found := seen.recall(piece)) is None:
-                        found = seen.keep(piece, tuple(t for t in terms_of(piece) if only is None or t in only))
+                        found = seen.keep(piece, tuple(terms_of(piece)))
                     mine.update(found)
-                total.update(mine)
-                if len(total) > 500_000:
+                total[int(toxic == 1)].update(mine)
+                if len(total[0]) + len(total[1]) > 500_000:
                     yield out()
         yield out()
 
-    return rows.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def fit(documents: DataFrame, labels: DataFrame, most_examples: int = 1500, considered: int = 50_000, most_terms: int = 3000, least_rows: int = 4, least_share: float = 0.03, least_z: float = 6.0, least_ratio: float = 8.0) -> ToxicityModel | None:
-    """Learn from documents (doc_id, text) and labels (doc_id, toxic). Bounds, all parameters: the
-    ``considered`` terms that most toxic rows hold, ``most_terms`` of them in the vocabulary,
-    ``most_examples`` examples of each label, those whose hashed ids come first. A term needs
-    ``least_rows`` toxic rows, the share ``least_share`` of them, and ``least_ratio`` times the share
-    of the other rows."""
+    return rows.select(F.col("text").cast("string").alias("text"), "toxic").mapInArrow(run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+
+
+def tail(a: int, b: int, n1: int, n0: int) -> float:
+    """The probability that ``a`` or more of a + b rows are toxic, if they are drawn from all rows
+    whatever their label (Fisher's exact test)."""
+    of = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    all_, total = of(n1 + n0, a + b), 0.0
+    for x in range(max(a, a + b - n0), min(a + b, n1) + 1):
+        total += (p := math.exp(of(n1, x) + of(n0, a + b - x) - all_))
+        if p < 1e-12 * total:
+            break
+    return min(1.0, total)
+
+
+def telling(pairs: list[tuple[int, int, int]], n1: int, n0: int, false_share: float) -> set[tuple[int, int]]:
+    """Of ``pairs`` (toxic rows, other rows, number of terms with these), those of terms that stand in
+    more toxic rows than chance explains. Terms are held against those with about as many rows (1, 2-3,
+    4-7, ...), as rare ones are many and can't be as sure; of those found there, about ``false_share``
+    are so by chance (Benjamini and Hochberg)."""
+    alike: dict[int, list] = {}
+    for a, b, n in pairs:
+        alike.setdefault((a + b).bit_length(), []).append((tail(a, b, n1, n0) if a * n0 > b * n1 else 1.0, a, b, n))
+    good = set()
+    for group in alike.values():
+        tested, found, upto = sum(x[3] for x in group), 0, 0
+        group.sort()
+        for i, (p, _, _, n) in enumerate(group):
+            found += n
+            if p <= false_share * found / tested:
+                upto = i + 1
+        good.update((a, b) for _, a, b, _ in group[:upto])
+    return good
+
+
+def fit(documents: DataFrame, labels: DataFrame, most_examples: int = 1500, most_terms: int = 3000, false_share: float = 0.05, least_ratio: float = 8.0) -> ToxicityModel | None:
+    """Learn from documents (doc_id, text) and labels (doc_id, toxic). A term is in the vocabulary if
+    it stands in more toxic rows than chance explains (``telling``, which goes by the number of rows)
+    and its share of the toxic rows is ``least_ratio`` times that of the others. Bounds: the
+    ``most_terms`` that tell most, and ``most_examples`` examples of each label, those whose hashed
+    ids come first."""
     said = labels.filter(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = stored(documents.select("doc_id", "text").join(said, "doc_id"))
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if n1 + n0 == 0:
         return None
-    held1 = count_terms(rows.filter("toxic = 1")).filter(F.col("n") >= least_rows).orderBy(F.desc("n"), "term").limit(considered).toPandas()
-    held0 = count_terms(rows.filter("toxic = 0"), set(held1["term"])).toPandas()
-    both = held1.merge(held0, on="term", how="left", suffixes=("1", "0")).fillna(0)
+    terms = stored(count_terms(rows.filter("toxic IN (0, 1)")))
+    pairs = [tuple(r) for r in terms.groupBy("n1", "n0").count().collect()]
+    kept = [(a, b) for a, b in telling(pairs, n1, n0, false_share) if a * n0 >= least_ratio * b * n1]
+    p1, p0, p = F.col("n1") / max(n1, 1), F.col("n0") / max(n0, 1), (F.col("n1") + F.col("n0")) / (n1 + n0)
+    z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)))
+    found = terms.join(F.broadcast(documents.sparkSession.createDataFrame(kept, "n1 long, n0 long")), ["n1", "n0"])
+    both = found.orderBy(F.desc(z), "term").limit(most_terms).select("term", "n1", "n0").toPandas()
     a, b = both["n1"].to_numpy(float), both["n0"].to_numpy(float)
-    p1, p0, p = a / max(n1, 1), b / max(n0, 1), (a + b) / (n1 + n0)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / max(n1, 1) + 1 / max(n0, 1)))
-    good = np.flatnonzero((z >= least_z) & (p1 >= least_share) & (p1 >= least_ratio * p0))
-    good = good[np.argsort(-z[good], kind="stable")][:most_terms]
-    vocabulary = {t: i for i, t in enumerate(both["term"].to_numpy()[good])}
-    idf = np.log((n1 + n0 + 1) / (a[good] + b[good] + 0.5)) if len(good) else np.zeros(0)
+    vocabulary = {t: i for i, t in enumerate(both["term"])}
+    idf = np.log((n1 + n0 + 1) / (a + b + 0.5))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(vocabulary)

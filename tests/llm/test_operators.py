@@ -1,5 +1,6 @@
 """Operators on documents and vectors: edge cases, brute-force versions, round trips, held-out rows."""
 
+import math
 import random
 import re
 
@@ -36,6 +37,10 @@ def docs(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet")
 
 
+def word(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
 def tokenizer(path):
     from tokenizers import Tokenizer
 
@@ -102,6 +107,19 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.fit(odd, marked)).count() == len(ODD)
 
 
+def test_toxicity_at_any_number_of_labels(spark):
+    few = catalog.queries()["op10_toxicity"](spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert len({x.score for x in few}) > 1 and all(x.predicted for x in few if x.toxic == 1 and x.evidence) and not any(x.predicted for x in few if x.toxic == 0)
+    assert any(x.predicted for x in few)
+    rows = [(i, f"some {word(i)} person is a zz{word(i % 50)}" if i < 600 else f"some {word(i)} person is here", int(i < 600)) for i in range(1200)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.score(many, toxicity.fit(many.drop("toxic"), many.drop("text"))).filter("predicted <> toxic").count() == 0
+    chance = [(a, 20 - a, round(1e5 * math.comb(20, a) / 2**20)) for a in range(21)]
+    assert toxicity.telling(chance, 10**6, 10**6, 0.05) == set() and toxicity.telling([*chance[:-1], (20, 0, 10)], 10**6, 10**6, 0.05) == {(20, 0)}
+    for n1, n0, a, b in ((9, 55, 4, 0), (9, 55, 3, 2), (5, 3, 4, 2), (40, 60, 30, 30)):
+        assert toxicity.tail(a, b, n1, n0) == pytest.approx(sum(math.comb(n1, x) * math.comb(n0, a + b - x) for x in range(a, min(a + b, n1) + 1)) / math.comb(n1 + n0, a + b))
+
+
 def brute_repeats(rows):
     first = {}
     for i, b in rows:
@@ -233,10 +251,6 @@ def test_line_templates(spark, odd, none):
     assert out.columns == odd.columns and out.count() == len(ODD) and line_templates.drop_lines(none).count() == 0
 
 
-def word(i):
-    return "".join("abcdefghij"[int(c)] for c in str(i))
-
-
 def test_line_templates_in_a_crowded_leaf(spark):
     rows = [(i, f"Posted by user {word(i)} from the main office today") for i in range(2001)]
     kept = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("text <> ''").collect()
