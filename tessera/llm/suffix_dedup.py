@@ -1,17 +1,18 @@
-"""Suffix-array dedup of byte strings that repeat across documents.
+"""Dedup of byte strings that repeat across documents.
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a document with a smaller
-doc_id. The work is dealt out by content, and each part is settled by bucket-pointer refinement:
+doc_id. The work is dealt out by content, and each part is settled by one round of bucket refinement:
 
 1. Every string of LENGTH bytes is represented by the least hash of the GRAM-byte strings in it (the
    leftmost of equals), so equal strings have the same representative at the same offset. Neighbouring
    strings share one: about one *anchor* stands for 18 strings.
 2. Documents lie in home groups of bounded size. Each group sends its different anchor hashes, and gets
    back which of them other documents hold too.
-3. Strings of such anchors travel as text to the part of their anchor. There the suffixes that start
-   strings are put in buckets by their first 8 bytes, and the buckets are refined by sorting on the
-   bucket numbers of later offsets; refined numbers are used at once for the next, twice as deep round,
-   down to LENGTH bytes. The least doc_id of each bucket says which occurrences go.
+3. Strings of such anchors travel as text to the part of their anchor. There the FIRST-byte strings
+   that they are made of are put in buckets by a 64-bit hash, and the buckets are refined by the bucket
+   numbers of later offsets. FIRST is half of LENGTH, so this is a single round: strings are equal if
+   both halves have equal hashes, and suffixes aren't sorted by their bytes. The least doc_id of each
+   bucket says which occurrences go.
 4. The home groups take the spans out of their documents.
 
 An anchor that very many home groups hold (a passage in a third of all documents) isn't one part:
