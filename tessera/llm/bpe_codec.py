@@ -15,7 +15,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memory, sliced, table
+from .common import Memory, kept, sliced, small_batches, table, tidy
 
 # Fixed value: the pre-tokenizer pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,7 +40,7 @@ def byte_letters() -> list[str]:
 class ByteBpe:
     """Encoder and decoder over one vocabulary file; keeps a bounded memory of pieces."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 48 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -133,16 +132,15 @@ class ByteBpe:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> ByteBpe:
-    """One for each Python worker and vocabulary file."""
-    return ByteBpe(path)
+    """The one that this Python worker keeps."""
+    return kept(("bytes", path), lambda: ByteBpe(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """The columns ``keep``, the ids of ``text`` (array<int>) and, if ``decoded`` names a column,
     the text that decoding those ids gives. Narrow: no shuffle."""
-    source = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    source = small_batches(df).select(*keep, F.col(text).cast("string").alias("__text"))
     fields = [*(source.schema[k] for k in keep), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
         fields.append(T.StructField(decoded, T.StringType(), False))
@@ -158,12 +156,12 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 columns.append(pa.array([c.decode(x) for x in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(tidy(run, keeps=True), T.StructType(fields))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` and the text that ``ids`` stand for (null ids: '')."""
-    source = df.select(*keep, F.col(ids).cast("array<int>").alias("__ids"))
+    source = small_batches(df).select(*keep, F.col(ids).cast("array<int>").alias("__ids"))
     schema = T.StructType([*(source.schema[k] for k in keep), T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +170,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
             texts = [c.decode(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run, keeps=True), schema)
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +16,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by BATCH_BYTES, where it allows more: what both sides of a
+    task hold then doesn't follow the length of the texts. Every operator calls it on its input."""
+    conf = df.sparkSession.conf
+    if int(conf.get(LIMIT).rstrip("bB")) > BATCH_BYTES:
+        conf.set(LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def beside(df: DataFrame, keep: list[str], text: str, *more) -> tuple[DataFrame, int]:
+    """The columns ``keep`` of ``df``, then those of ``more``, and its text as string, once: in its place
+    if it is a string among ``keep``, else as the last column; and the place where it is."""
+    columns = [F.col(f"`{c}`") for c in keep] + list(more)
+    if text in keep and df.schema[text].dataType.simpleString() == "string":
+        return small_batches(df).select(*columns), keep.index(text)
+    return small_batches(df).select(*columns, F.col(f"`{text}`").cast("string").alias("__text")), len(columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a
+    local master (tests) gets a temporary one; on a cluster such a folder isn't shared, so that's an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_written: dict[str, SparkSession] = {}
 
 
 def _forget() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            deleted(spark, path)
         except Exception:  # the session has ended: nothing is left to ask
             return
 
@@ -44,15 +74,63 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage,
-    survives lost executors, and goes when the driver ends."""
-    spark = df.sparkSession
+def own_path(spark: SparkSession) -> str:
+    """A new place in the shared folder that goes when the driver ends."""
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives
+    lost executors, and goes when the driver ends or ``drop_stored`` is called."""
+    path = own_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tables_stored() -> set[str]:
+    return set(_written)
+
+
+def drop_stored(paths: set[str]) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for path in paths & set(_written):
+        deleted(_written.pop(path), path)
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps between its tasks: one thing at most, so that a worker that serves
+    one operator after another doesn't gather what all of them remember."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """``run`` over batches; before it whatever ``kept`` holds goes (unless ``keeps``), and after it
+    memory that nothing uses goes back to the system, as workers live on."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -100,28 +178,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def folded(flat: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z and the capitals U+00C0-U+00DE (0xC3, then 0x80-0x9E) in lower case."""
+    out = flat.copy()
+    out[(flat >= 0x41) & (flat <= 0x5A)] += 0x20
+    after = np.zeros(len(flat), bool)
+    after[1:] = flat[:-1] == 0xC3
+    out[after & (flat >= 0x80) & (flat <= 0x9E) & (flat != 0x97)] += 0x20
+    return out
+
+
+def stretches(flat: np.ndarray, keep: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The bytes of ``flat`` under ``keep`` as binary values, one from each of ``start`` (places under
+    ``keep``) to the next, dictionary-encoded: the different ones and which is where."""
+    place = np.cumsum(keep) - 1
+    ends = np.append(place[start], np.count_nonzero(keep)).astype(np.int64)
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(flat[keep].tobytes())])
+    return raw.dictionary_encode()
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n: the folds of the held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
 class Memory(dict):
-    """What was found for short strings: at most ``most`` newer and ``most`` older entries.
-    When the newer ones are full they become the older ones, and these go."""
+    """What was found for short keys, in two generations of ``most_bytes`` each: when the newer one is
+    full it becomes the older one, and that goes."""
 
-    def __init__(self, most: int, longest: int = 64):
-        self.most, self.longest, self.older = most, longest, {}
+    def __init__(self, most_bytes: int = 32 << 20, longest: int = 64):
+        self.most_bytes, self.longest, self.used, self.older = most_bytes, longest, 0, {}
 
-    def recall(self, key: str):
+    def recall(self, key):
         found = self.get(key)
         if found is None and (found := self.older.get(key)) is not None:
             self.keep(key, found)
         return found
 
-    def keep(self, key: str, value):
+    def keep(self, key, value):
         if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.older = dict(self)
+            size = 160 + len(key) + 8 * len(value)  # about what Python takes for the entry and both objects
+            if self.used + size > self.most_bytes:
+                self.older, self.used = dict(self), 0
                 self.clear()
+            self.used += size
             self[key] = value
         return value

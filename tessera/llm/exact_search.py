@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 from .vectors import best, matrix, merged, query_rows, taking_part
 
 SHARD_ROWS = 16_384
@@ -99,7 +99,7 @@ def exact_type(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def search(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
-    rows = taking_part(df, vec_id, embedding, zero=True).withColumn("dim", F.size("vector"))
+    rows = taking_part(small_batches(df), vec_id, embedding, zero=True).withColumn("dim", F.size("vector"))
     rows = stored(rows)
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     queries = query_rows(rows, every).withColumn("dim", F.size("vector"))

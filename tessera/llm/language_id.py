@@ -5,8 +5,8 @@ of 256 rows: the convolution over one-hot bytes), each filter keeps its largest
 window, and a softmax over these gives the window's languages. A text's score is the mean over all
 its windows, so whole texts are read.
 
-Training takes windows of at most ``most_docs`` labelled documents for each language, chosen by a
-hash of the id (a documented bound); prediction reads text only.
+Training draws windows of about ``most_docs`` labelled documents for each language, chosen by a hash of
+the id (a documented bound on rows; of these all windows may be drawn); prediction reads text only.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; rows with a null label
 are not learnt from; without labelled rows every text is ``und``; repeated rows are predicted alike;
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, flat_text, sliced, table
+from .common import beside, crc_mod, flat_text, folded, sliced, small_batches, table, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -76,34 +76,32 @@ class ByteConvNet:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.05) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int = 400, batch: int = 128, rate: float = 0.05) -> None:
+        """Batches of windows (uint8) of languages ``y``, drawn by their ``share``."""
         r = np.random.default_rng(self.seed + 1)
         f = self.filters
         params = [*self.tables, self.bias, self.weight, self.offset]
         past = [np.full_like(p, 1e-3) for p in params]
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for s in range(0, len(x), batch):
-                at = order[s : s + batch]
-                xb, yb = x[at], y[at]
-                h, where = self.pooled_with_places(xb)
-                a = np.maximum(h, 0)
-                z = a @ self.weight + self.offset
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(yb)), yb] -= 1
-                p /= len(yb)
-                grad = [np.zeros_like(t) for t in self.tables]
-                dh = (p @ self.weight.T) * (h > 0)
-                rows = np.arange(len(xb))[:, None]
-                cols = np.broadcast_to(np.arange(f), (len(xb), f))
-                for i, w in enumerate(WIDTHS):
-                    for j in range(w):
-                        np.add.at(grad[i][j], (xb[rows, where[i] + j], cols), dh[:, i * f : (i + 1) * f])
-                grad += [dh.sum(axis=0), a.T @ p, p.sum(axis=0)]
-                for q, g, m in zip(params, grad, past):
-                    m += g * g
-                    q -= rate * g / np.sqrt(m)
+        for at in r.choice(len(x), (steps, batch), p=share / share.sum()):
+            xb, yb = x[at], y[at]
+            h, where = self.pooled_with_places(xb)
+            a = np.maximum(h, 0)
+            z = a @ self.weight + self.offset
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(yb)), yb] -= 1
+            p /= len(yb)
+            grad = [np.zeros_like(t) for t in self.tables]
+            dh = (p @ self.weight.T) * (h > 0)
+            rows = np.arange(len(xb))[:, None]
+            cols = np.broadcast_to(np.arange(f), (len(xb), f))
+            for i, w in enumerate(WIDTHS):
+                for j in range(w):
+                    np.add.at(grad[i][j], (xb[rows, where[i] + j], cols), dh[:, i * f : (i + 1) * f])
+            grad += [dh.sum(axis=0), a.T @ p, p.sum(axis=0)]
+            for q, g, m in zip(params, grad, past):
+                m += g * g
+                q -= rate * g / np.sqrt(m)
         self.ready = None
 
     def pooled_with_places(self, x: np.ndarray):
@@ -120,16 +118,6 @@ class ByteConvNet:
         return np.concatenate(hs, axis=1) + self.bias, where
 
 
-def folded(flat: np.ndarray) -> np.ndarray:
-    """Bytes with A-Z and the capitals U+00C0-U+00DE (0xC3, then 0x80-0x9E) in lower case."""
-    out = flat.copy()
-    out[(flat >= 0x41) & (flat <= 0x5A)] += 0x20
-    after = np.zeros(len(flat), bool)
-    after[1:] = flat[:-1] == 0xC3
-    out[after & (flat >= 0x80) & (flat <= 0x9E) & (flat != 0x97)] += 0x20
-    return out
-
-
 def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of a string column, zero bytes at a text's end, the row of each window and the
     share of its bytes that are text's. An empty text has none."""
@@ -147,11 +135,11 @@ def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, row, length
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_docs: int = 300, windows_each: int = 8, seed: int = 7) -> ByteConvNet | None:
-    """Learn from rows with a label. Bound: for each language the ``most_docs`` documents whose
-    hashed ids come first, and ``windows_each`` windows of each, some cut short so that short texts
-    are known too; nothing else of the texts reaches the driver."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most_docs: int = 300, seed: int = 7) -> ByteConvNet | None:
+    """Learn from rows with a label. Bound: about ``most_docs`` documents of each language, by their
+    hashed ids; of these every window, some cut short so that short texts are known too. A document
+    has the same weight however many windows it has. Nothing else of the texts reaches the driver."""
+    rows = small_batches(labelled).filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return None
@@ -164,41 +152,44 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             x, row, length = windows(b.column(1))
-            take, langs, seeds = [], [], b.column(2).to_pylist()
+            take, langs, share, seeds = [], [], [], b.column(2).to_pylist()
             kept = np.flatnonzero(length > 0)
             for i in np.unique(row[kept]):
                 mine = kept[row[kept] == i]
                 r = np.random.default_rng(seeds[i] & 0xFFFFFFFF)
-                for k in r.permutation(mine)[:windows_each]:
+                for k in mine:
                     w = x[k].copy()
                     if r.random() < 0.3:
                         w[int(r.integers(12, 120)) :] = 0
                     take.append(w.tobytes())
                     langs.append(b.column(0)[int(i)].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(take, pa.binary())], names=["lang", "window"])
+                    share.append(1 / len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(take, pa.binary()), pa.array(share, pa.float64())], names=["lang", "window", "share"])
 
-    got = chosen.mapInArrow(cut, "lang string, window binary").toPandas().sort_values(["lang", "window"])
+    got = chosen.mapInArrow(tidy(cut), "lang string, window binary, share double").toPandas().sort_values(["lang", "window"])
     if not len(got):
         return None
     net = ByteConvNet(sorted(set(got["lang"])), seed=seed)
     x = np.frombuffer(b"".join(got["window"]), np.uint8).reshape(-1, WINDOW)
-    net.fit(x, np.searchsorted(net.languages, got["lang"].to_numpy().astype(str)))
+    net.fit(x, np.searchsorted(net.languages, got["lang"].to_numpy().astype(str)), got["share"].to_numpy())
     return net
 
 
-def predict(df: DataFrame, net: ByteConvNet | None, text: str = "text") -> DataFrame:
-    """The columns of ``df``, ``lang_pred`` and ``score`` (mean probability of that language over
-    all windows of the text, by their length)."""
-    letters = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+def predict(df: DataFrame, net: ByteConvNet | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all, if not given), ``lang_pred`` and ``score`` (mean probability
+    of that language over all windows of the text, by their length). Columns of these two names in
+    ``df`` are replaced."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     if net is None:
-        return df.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    source = df.select(*kept, F.when(letters, F.col(text).cast("string")).alias("__text"))
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+        return df.select(*(F.col(f"`{c}`") for c in keep), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    letters = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    source, at = beside(df, keep, text, letters)
+    kept = len(keep)
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "__text", 1 << 20):
-            x, row, length = windows(b.column(b.num_columns - 1))
+        for b in sliced(batches, source_name, 1 << 20):
+            x, row, length = windows(b.column(at))
             total = np.zeros((b.num_rows, len(net.languages)))
             weight = np.bincount(row, weights=length, minlength=b.num_rows)
             for s in range(0, len(x), 256):
@@ -207,15 +198,17 @@ def predict(df: DataFrame, net: ByteConvNet | None, text: str = "text") -> DataF
                     total[:, k] += np.bincount(row[s : s + 256], weights=p[:, k], minlength=b.num_rows)
             total /= np.maximum(weight, 1)[:, None]
             best = total.argmax(axis=1)
+            weight = weight * np.asarray(b.column(kept))
             said = [net.languages[k] if w else "und" for k, w in zip(best, weight)]
             score = np.clip(np.where(weight > 0, total[np.arange(len(best)), best], 0.0), 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string()), pa.array(score)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(said, pa.string()), pa.array(score)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    source_name = source.columns[at]
+    return source.mapInArrow(tidy(run), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     net = fit(docs.filter(crc_mod("doc_id", 3) != 1))
-    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net, keep=["doc_id", "held_out"])

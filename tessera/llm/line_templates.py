@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, table
+from .common import sliced, small_batches, stored, table, tidy
 
 DIGIT = re.compile(r"\d")
 FIELD = "<*>"
@@ -133,7 +133,7 @@ def coded(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_docs: int = 3, least_tokens: int = 4, depth: int = 3, alike: float = 0.8, crowded: int = 2000) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped, and no other change."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    source = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    source = small_batches(docs).filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
@@ -149,7 +149,7 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
                         keys.append(key)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(leaves, pa.int64()), pa.array(keys, pa.int64())], names=["id", "leaf", "line"])
 
-    held = stored(source.mapInArrow(read, f"id {id_type}, leaf long, line long"))
+    held = stored(source.mapInArrow(tidy(read), f"id {id_type}, leaf long, line long"))
     lines = held.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("n").alias("n_leaf")).filter((F.col("different") > 1) & (F.col("n_leaf") >= least_docs))
     wanted = lines.join(leaves, "leaf").groupBy("first").agg(F.collect_list(F.struct("line", "n")).alias("wanted"))
@@ -179,28 +179,28 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
         np.minimum.at(least, of, keys)
         return pa.table([pa.array(keys, pa.int64()), pa.array(least[of], pa.int64())], names=["line", "template"])
 
-    several = texts.mapInArrow(fetch, "leaf long, line long, tokens array<string>, n long").groupBy("leaf").applyInArrow(group, "line long, template long")
+    several = texts.mapInArrow(tidy(fetch), "leaf long, line long, tokens array<string>, n long").groupBy("leaf").applyInArrow(group, "line long, template long")
     several = stored(several.filter("line <> template"))
     each = held.select("id", "line").join(several, "line", "left").select("id", "line", F.coalesce("template", "line").alias("template"))
     recurring = each.select("template", "id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= least_docs)
     dropped = each.join(recurring, "template").filter("id <> first").groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
-    joined = docs.withColumn("__text", F.col(text).cast("string")).join(dropped, docs[doc_id] == F.col("__id"), "left").drop("__id")
+    joined = docs.withColumn(text, F.col(text).cast("string")).join(dropped, docs[doc_id] == F.col("__id"), "left").drop("__id")
 
     columns_out, where = docs.columns, docs.columns.index(text)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "__text"):
+        for b in sliced(batches, text):
             new = []
-            for t, drop in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            for t, drop in zip(b.column(where).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 if drop and t is not None:
                     drop = set(drop)
                     t = "\n".join(x for x in t.split("\n") if len(m := masked(x)) < least_tokens or line_key(m) not in drop)
                 new.append(t)
-            columns = list(b.columns[:-2])
+            columns = list(b.columns[:-1])
             columns[where] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=columns_out)
 
-    return joined.mapInArrow(remove, docs.withColumn(text, F.col(text).cast("string")).schema)
+    return joined.mapInArrow(tidy(remove), docs.withColumn(text, F.col(text).cast("string")).schema)
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
