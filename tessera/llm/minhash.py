@@ -8,15 +8,18 @@ with a probability of 5e-6. Links are confirmed on the full sets.
 
 Equal sets are one class from the start, so copies are never compared. In each bucket of a band the
 classes are compared with its smallest one, then, where that leaves several groups, with its largest
-one, and at last, where several groups remain, across these groups by the rarest shingles of each set
-(an exact prefix filter), so no link that could join two groups is left out and a bucket of near
-copies doesn't become all its pairs. What a bucket holds is
-aggregated before it is dealt out; a comparison's texts are dealt by the other side and a salt.
+one. Links found so far join groups, and only classes of different groups are compared after that:
+those outside a bucket's largest group with that group and with each other, each pair in the first
+bucket that both share, and only where bitmaps of both sets (an exact bound) allow the similarity.
+So no link that could join two groups is left out, and a bucket of near copies doesn't become all its
+pairs. What a bucket holds is aggregated before it is dealt out; a comparison's texts are dealt by
+the other side and a salt, so that a group of them holds about SHINGLES shingles.
 
 Defined cases: a text without words (null, empty, white space) has an empty set, no links and its own
 component; a row with a null doc_id is linked with nothing, has a null component and is kept; rows
 that share a doc_id have the component of their own text each, and the links of both where that id is
-the smallest of both texts' classes; extra columns are not read; an empty table gives no rows.
+the smallest of both texts' classes; repeated rows are copies of each other; extra columns are not
+read (``one_of_each`` keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,30 +34,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_text, mixed, n_partitions, sliced, stored, table
+from .common import flat_text, give_back, kept, mixed, n_partitions, sliced, small_batches, stored, table, tidy
 
 SHINGLE = 5
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-CELLS = 1 << 18
+#: Words of 64 bits in the bitmap of a set.
 WORDS = 16
+MAPS = [f"w{k}" for k in range(WORDS)]
+#: Shingles that one group of comparisons reads, about.
+SHINGLES = 400_000
 GOLDEN = 0x9E3779B97F4A7C15
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0xB492B66FBE98F273
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
-_powers: dict[str, np.ndarray] = {}
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i under n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        m = max(n, 1 << 21)
-        for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+    """BASE**i and BASE**-i modulo 2**64 for i under n; the first ones are kept by the worker."""
+
+    def make(m: int) -> list[np.ndarray]:
+        out = []
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(m, b, np.uint64)
             p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+            out.append(np.multiply.accumulate(p))
+        return out
+
+    up, down = kept(("powers",), lambda: make(1 << 20)) if n <= 1 << 20 else make(n)
+    return up[:n], down[:n]
 
 
 def word_hashes(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +159,10 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) and the bands of every row."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """doc_id, text_key, n_shingles, set_key (null for an empty set), the bands and the bitmap (columns
+    MAPS) of every row."""
+    t = F.col(text).cast("string")
+    source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), F.md5(F.coalesce(t, F.lit("")).cast("binary")).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text", 1 << 20):
@@ -161,9 +170,17 @@ def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = dict(zip(full, band_keys(super_min_hash([sets[i] for i in full]))))
             names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([keys.get(i) for i in range(len(sets))], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+            bits = np.zeros((b.num_rows, 64 * WORDS), bool)
+            for i in full:
+                bits[i, (mixed(sets[i]) % np.uint64(64 * WORDS)).astype(np.int64)] = True
+            words = np.packbits(bits, axis=1).view(np.int64)
+            bands = pa.array([keys.get(i) for i in range(len(sets))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), bands, *(pa.array(words[:, k].copy()) for k in range(WORDS))],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "bands", *MAPS],
+            )
 
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return source.mapInArrow(tidy(run, keeps=True), "doc_id long, text_key string, n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{m} long" for m in MAPS))
 
 
 def alike(s: np.ndarray, o: np.ndarray, percent: int) -> bool:
@@ -175,14 +192,16 @@ def alike(s: np.ndarray, o: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose texts (id, text) have sets with 100 * intersection >= percent *
-    union. Pairs are dealt by b and a salt, 1000 to a task's group; b's text goes to each salt."""
+    """Of the pairs (a, b, n_a, n_b) those whose texts (id, text) have sets with 100 * intersection >=
+    percent * union. Pairs are dealt by b and a salt, so that a group holds about SHINGLES shingles;
+    b's text goes to each of its salts."""
     spark = pairs.sparkSession
-    groups = max(n_partitions(spark), -(-pairs.count() // 1000))
-    size = pairs.groupBy("b").agg((F.floor(F.count("*") / 500) + 1).alias("salts"))
+    total = pairs.agg(F.sum(F.col("n_a") + F.col("n_b")).alias("n")).first()["n"] or 0
+    groups = max(n_partitions(spark), -(-total // SHINGLES))
+    size = pairs.groupBy("b").agg((F.floor(F.sum("n_a") / SHINGLES) + 1).alias("salts"))
     place = F.pmod(F.xxhash64("b", "salt"), F.lit(groups))
     left = (
-        pairs.join(size, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+        pairs.select("a", "b").join(size, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
         .join(texts.withColumnRenamed("id", "a"), "a").select("a", "b", "text", place.alias("group"))
     )
     right = (
@@ -202,6 +221,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     if any(alike(s, o, percent) for o in known[y]):
                         a.append(x)
                         b.append(y)
+        give_back()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return stored(left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(check, "a long, b long"))
@@ -236,7 +256,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 parent.clear()
         yield out()
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(tidy(run, keeps=True), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,9 +280,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    return grouped(docs, text, doc_id, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for every row."""
     rows = stored(described(docs, text, doc_id))
     full = rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bands", "bands"), *((m, m) for m in MAPS)))))
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     buckets = stored(banded.join(shared, "key"))
@@ -272,10 +297,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = stored(keyed_texts(source.join(wanted, "id", "left_semi"), classes.select("rep", "set_key").join(wanted, F.col("rep") == F.col("id"), "left_semi")))
 
     size_of = buckets.select("rep", "n").distinct()
-    sized = lambda p: (  # noqa: E731  the pairs whose sizes allow the similarity
-        p.join(size_of.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(size_of.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
-        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-    )
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """Those whose sizes allow the similarity."""
+        a, b = (size_of.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+        return pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b")
+
     pairs = stored(sized(buckets.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()))
     labels = components(verified(pairs, texts, percent))
     for step in ("high", "across"):
@@ -285,78 +312,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if step == "high":
             found = members.filter("rep <> high").select(F.col("rep").alias("a"), F.col("high").alias("b")).distinct()
         else:
-            found = across(members.select("rep", "n", "label").distinct(), texts, percent)
+            found = across(members, classes, percent)
         found = stored(sized(found).join(pairs, ["a", "b"], "left_anti"))
         new = verified(found, texts, percent)
         pairs = pairs.union(found)
         if new.limit(1).count():  # components so far stand for their links
             labels = components(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(new))
     of_set = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
-    out = rows.drop("bands").join(of_set, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def rarity(texts: DataFrame) -> np.ndarray:
-    """How often shingles of each of CELLS hash cells occur in the texts: an order for prefixes. The
-    table has a fixed size; whatever it says, the prefixes stay exact."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for b in sliced(batches, "text"):
-            for s in shingle_sets(b.column(0)):
-                np.add.at(total, (s % np.uint64(CELLS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([x.tobytes() for x in np.split(total, 32)], pa.binary())], names=["part", "cells"])
-
-    def summed(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in t.column("cells").to_pylist())
-        return pa.table([t.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "cells"])
-
-    rows = texts.select("text").mapInArrow(count, "part int, cells binary").groupBy("part").applyInArrow(summed, "part int, cells binary").collect()
-    return np.concatenate([np.frombuffer(r["cells"], np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(CELLS, np.int64)
-
-
-def across(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes (rep, n, label) with different labels: two sets of the wanted
-    similarity share one of the rarest n - ceil(percent * n / 100) + 1 shingles of each. Near copies
-    that differ in more than that share none. Of the others only those pairs come out that bitmaps of
-    both sets allow, so a group of near copies isn't emitted as pairs."""
-    own = stored(texts.join(members.withColumnRenamed("rep", "id"), "id").select("text", "id", "n", "label"))
-    cells = rarity(own)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
-            rows, found = [], []
-            for i, s in enumerate(shingle_sets(b.column(0))):
-                keep = len(s) - -(-percent * len(s) // 100) + 1
-                order = np.lexsort((s, cells[(s % np.uint64(CELLS)).astype(np.int64)]))[:keep]
-                rows.append(np.full(len(order), i))
-                found.append(s[order])
-            at = pa.array(np.concatenate(rows) if rows else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64()), *(b.column(k).take(at) for k in (1, 2, 3))], names=["shingle", "id", "n", "label"])
-
-    rare = own.mapInArrow(prefixes, "shingle long, id long, n long, label long")
-    several = rare.groupBy("shingle").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("shingle")
-    maps = [f"w{k}" for k in range(WORDS)]
-
-    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
-            bits = np.zeros((b.num_rows, 64 * WORDS), bool)
-            for i, s in enumerate(shingle_sets(b.column(0))):
-                bits[i, (mixed(s) % np.uint64(64 * WORDS)).astype(np.int64)] = True
-            words = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(words[:, k]) for k in range(WORDS))], names=["id", *maps])
-
-    held = own.select("text", "id").mapInArrow(bitmaps, "id long, " + ", ".join(f"{m} long" for m in maps))
-    rare = stored(rare.join(several, "shingle").join(held, "id"))
-    one, two = rare.alias("one"), rare.alias("two")
+    out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of classes with different labels in buckets (key, rep, n, label). In each
+    bucket the classes outside its commonest label meet those of it and one another; a pair comes out
+    in the first bucket that both share, and only if sizes and bitmaps allow the similarity."""
+    count = members.groupBy("key", "label").agg(F.count("*").alias("held"))
+    main = count.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
+    rows = stored(members.select("key", "rep", "n", "label").join(main, "key").join(classes.select("rep", "bands", *MAPS), "rep"))
+    one, big, rest = (rows.filter(f"label {x} main").alias(y) for x, y in (("<>", "one"), ("=", "two"), ("<>", "two")))
     both = F.col("one.n") + F.col("two.n")
     # Bits that differ are at most the shingles that do, so they bound the intersection from above.
-    differ = reduce(add, (F.bit_count(F.col(f"one.{m}").bitwiseXOR(F.col(f"two.{m}"))) for m in maps))
+    differ = reduce(add, (F.bit_count(F.col(f"one.{m}").bitwiseXOR(F.col(f"two.{m}"))) for m in MAPS))
+    first = F.array_position(F.zip_with("one.bands", "two.bands", lambda x, y: x == y), F.lit(True)).cast("int")
     near = (
-        (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.label") < F.col("two.label"))
-        & (100 * F.least("one.n", "two.n") >= percent * F.greatest("one.n", "two.n")) & ((both - differ) * (100 + percent) >= 2 * percent * both)
+        (F.col("one.key") == F.col("two.key")) & (100 * F.least("one.n", "two.n") >= percent * F.greatest("one.n", "two.n"))
+        & ((both - differ) * (100 + percent) >= 2 * percent * both) & (F.element_at("one.bands", first) == F.col("one.key"))
     )
-    return one.join(two, near).select(F.greatest("one.id", "two.id").alias("a"), F.least("one.id", "two.id").alias("b")).distinct()
+    pairs = one.join(big, near).select("one.rep", F.col("two.rep").alias("other"))
+    pairs = pairs.union(one.join(rest, near & (F.col("one.label") < F.col("two.label"))).select("one.rep", F.col("two.rep").alias("other")))
+    return pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
 
 
 def keyed_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -368,8 +353,50 @@ def keyed_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
             at = pa.array(np.flatnonzero(right), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["id", "text"])
 
-    return texts.join(keys.select(F.col("rep").alias("id"), "set_key"), "id").select("id", "text", "set_key").mapInArrow(run, "id long, text string")
+    return texts.join(keys.select(F.col("rep").alias("id"), "set_key"), "id").select("id", "text", "set_key").mapInArrow(tidy(run, keeps=True), "id long, text string")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: of its rows with the smallest doc_id the
+    one with the least key of its text. Rows with a null doc_id and rows without words are in no group
+    and stay. Where a row that stays is repeated (doc_id and text), its least row stays."""
+    found = grouped(docs, text, doc_id, percent).filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    found = stored(found)
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    judged = stored(found.join(first, "component_id").select("doc_id", "text_key", (F.struct("doc_id", "text_key") == F.col("first")).alias("stays"), "n"))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    known = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__key": F.md5(t.cast("binary"))})
+    on = lambda d: (known["__id"] == d["doc_id"]) & (known["__key"] == d["text_key"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = judged.filter("stays AND n > 1")
+    gone = judged.filter("NOT stays OR n > 1").select("doc_id", "text_key")
+    out = known.join(gone, on(gone), "left_anti").select(*columns)
+    repeated = known.join(several, on(several), "left_semi").groupBy("__id", "__key").agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+    return out.unionByName(repeated)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: With fewer than 5 words the whole sequence is the one shingle.
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 75 * (p.n + q.n - both_)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(least.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
+"""
