@@ -5,13 +5,15 @@ room that still holds it. Where none does, the bin size of least cost for each t
 still gather is opened: cost(capacity) / (piece + what the shorter pieces can add), where the cost
 has a fixed, a linear and a quadratic part, as a training step over a sequence has. At the end each bin shrinks to the smallest permitted length that holds its contents.
 
-Shards of bounded size, dealt by a hash of the id, are packed side by side, so at most a few
-part-filled bins of each shard are lost against one packing of everything.
+Shards of about ``shard_docs`` rows, dealt by a hash of the row's id and length, are packed side by side. That is so
+at every size: a table of fewer rows is one shard. What is lost against one packing of everything is
+the few part-filled bins at each shard's end (the README has measured figures).
 
 Defined cases: a document longer than the largest length is cut into pieces of that length and a
-rest; one without tokens (null or not positive) takes no room and has one row with a null bin;
-repeated rows are packed as often as they occur; a null doc_id is packed like any other; ties go by
-doc_id; an empty table gives no rows; other columns are not read.
+rest; one without tokens (null or not positive) takes no room and has one row with a null bin; a text
+that is null or empty has one token, the end id; repeated rows are packed as often as they occur; a
+null doc_id is packed like any other, dealt by its length; ties go by doc_id; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import give_back, stored, table
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 64
@@ -61,12 +63,13 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
     return bins, starts, final
 
 
-def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, doc_id: str = "doc_id", n_tokens: str = "n_tokens") -> DataFrame:
+def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, doc_id: str = "doc_id", n_tokens: str = "n_tokens", shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, piece, doc_start, n_tokens of the piece, bin_id, bin_start, bin_used, bin_capacity."""
     kind = df.schema[doc_id].dataType.simpleString()
     rows = stored(df.select(doc_id, F.coalesce(F.col(n_tokens).cast("long"), F.lit(0)).alias("n")))
-    shards = max(1, -(-rows.count() // SHARD_DOCS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col(doc_id), F.lit(8)), F.lit(shards)))
+    shards = max(1, -(-rows.count() // shard_docs))
+    # Null ids and repeated ones don't meet in one shard: the length and a row's own place deal them too.
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col(doc_id), F.col("n"), F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id())), F.lit(shards)))
     largest = max(capacities)
     names = [doc_id, "piece", "doc_start", "n_tokens", "bin_id", "bin_start", "bin_used", "bin_capacity"]
 
@@ -86,6 +89,7 @@ def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int
         shard = t.column("shard")[0].as_py() if t.num_rows else 0
         out["bin_id"][order], out["bin_start"][order] = shard << 32 | bins, starts
         out["bin_used"][order], out["bin_capacity"][order] = used[bins], final[bins]
+        give_back()
         columns = [t.column(doc_id).combine_chunks().take(pa.array(row)), pa.array(nth), pa.array(nth * largest), pa.array(length)]
         return pa.table([*columns, *(pa.array(x, mask=empty) for x in out.values())], names=names)
 
@@ -93,11 +97,11 @@ def pack(df: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int
     return rows.groupBy("shard").applyInArrow(run, f"`{doc_id}` {kind}, {longs}")
 
 
-def pack_texts(docs: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+def pack_texts(docs: DataFrame, path: str, capacities: tuple[int, ...] = CAPACITIES, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pack documents by their numbers of ids (with an end id) under a tokenizer file."""
-    from .token_files import encode
+    from .token_files import lengths
 
-    return pack(encode(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens")), capacities)
+    return pack(lengths(docs, path), capacities, shard_docs=shard_docs)
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
