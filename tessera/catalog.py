@@ -50,6 +50,9 @@ add("q_or_nor_not", 'query part { fetch(filters: { or: [{ p_size: { lt: 5 } }, {
 add("q_and_nested", 'query part { fetch(filters: { and: [{ p_size: { gt: 3, not: { eq: 7 } } }, { from: part, p_name: { regex: "%bolt" } }] }) { p_size { n: count(a: p_partkey) } } }', "SELECT p_size, count(p_partkey) AS n FROM part WHERE p_size > 3 AND NOT (p_size = 7) AND p_name LIKE '%bolt' GROUP BY 1")
 add("q_inherited", 'query part { fetch(table: supplier, filters: { and: [{ from: part, inherited: false, p_size: { gt: 3 } }, { s_acctbal: { gt: 0 } }] }) { s_nationkey { n: count(a: s_suppkey) } } }', "SELECT s_nationkey, count(s_suppkey) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
 add("q_having", "query lineitem { fetch(filters: { l_discount: { gt: 0.02 }, having: { n: { gt: 40 } } }) { l_suppkey { n: count(a: l_orderkey) qty: sum(a: l_quantity) } } }", "SELECT l_suppkey, count(l_orderkey) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem WHERE l_discount > 0.02 GROUP BY 1 HAVING count(l_orderkey) > 40")
+add("q_having_share", "query lineitem { fetch(filters: { having: { n: { gt: 600 } } }) { l_suppkey { n: count(a: l_orderkey) v: share(a: l_quantity) top: indexed(a: l_quantity) } } }", "SELECT l_suppkey, count(l_orderkey) AS n, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 4) AS v, round(sum(l_quantity) / max(sum(l_quantity)) OVER (), 4) AS top FROM lineitem GROUP BY 1 HAVING count(l_orderkey) > 600")
+add("q_having_share_by", "query lineitem { fetch(filters: { having: { or: [{ n: { gt: 155 } }, { qty: { lt: 3500 } }] } }) { l_suppkey { l_linestatus { n: count(a: l_orderkey) qty: sum(a: l_quantity) v: share(a: l_quantity, by: l_suppkey) } } } }", "SELECT l_suppkey, l_linestatus, count(l_orderkey) AS n, round(sum(l_quantity), 4) AS qty, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_suppkey), 4) AS v FROM lineitem GROUP BY 1, 2 HAVING count(l_orderkey) > 155 OR sum(l_quantity) < 3500")
+add("q_having_cutoff", "query lineitem { fetch(filters: { having: { n: { gt: 600 } } }) { l_suppkey(cutoff: l_quantity) { n: count(a: l_orderkey) } } }", "SELECT l_suppkey, count(l_orderkey) AS n, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 4) AS cutoff FROM lineitem GROUP BY 1 HAVING count(l_orderkey) > 600")
 add("q_search", 'query part { fetchPlain(filters: { search: { p_name: "red wid" } }) { key: p_partkey score: searchRanking(a: p_name) head: searchHeadline(a: p_name) } }', """
 SELECT p_partkey AS key, round(0.1 * 1 / 2 + 0.1 / 4 / 2, 4) AS score,
   regexp_replace(p_name, '(red|wid[a-z]*)', '<b>\\1</b>', 'g') AS head
@@ -78,15 +81,20 @@ add("q_bucket", "query part { fetch { p_size(groupByEach: 10) { lo: groupByEach_
 add("q_bucket_price", "query part { fetch { p_retailprice(groupByEach: 50) { n: count(a: p_partkey) } } }", "SELECT (b * 50)::VARCHAR || '-' || (b * 50 + 49)::VARCHAR AS p_retailprice, count(*) AS n FROM (SELECT floor(ceil(p_retailprice) / 50)::INT AS b FROM part) GROUP BY b")
 for _unit in ("week", "month", "quarter", "year", "decade"):
     add(f"q_{_unit}", f"query orders {{ fetch {{ o_orderdate(groupBy: {_unit}) {{ v: sum(a: o_totalprice) }} }} }}", f"SELECT date_trunc('{_unit}', o_orderdate)::TIMESTAMP AS o_orderdate, round(sum(o_totalprice), 4) AS v FROM orders GROUP BY 1")
+for _unit, _n in (("century", 100), ("millennium", 1000)):  # those begin in years that follow a multiple
+    add(f"q_{_unit}", f"query orders {{ fetch {{ o_orderdate(groupBy: {_unit}) {{ v: sum(a: o_totalprice) }} }} }}", f"SELECT make_date((((year(o_orderdate) - 1) // {_n}) * {_n} + 1)::INT, 1, 1)::TIMESTAMP AS o_orderdate, round(sum(o_totalprice), 4) AS v FROM orders GROUP BY 1")
+add("q_bucket_alias", 'query customer { fetch(join: { table: orders, by: "c_custkey:o_custkey" }) { o_orderdate(groupBy: year, groupByAlias: orders) { n: count(a: c_custkey) } } }', "SELECT date_trunc('year', o_orderdate)::TIMESTAMP AS o_orderdate, count(c_custkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+add("q_bucket_fraction", "query customer { fetch { c_acctbal(groupByEach: 2500) { n: count(a: c_custkey) } } }", "SELECT (b * 2500)::VARCHAR || '-' || (b * 2500 + 2499)::VARCHAR AS c_acctbal, count(*) AS n FROM (SELECT floor(ceil(c_acctbal) / 2500)::INT AS b FROM customer) GROUP BY b")
 add("q_combine", 'query lineitem { fetch { combine(fields: ["l_returnflag", { name: "l_linestatus", alias: "st" }]) { qty: sum(a: l_quantity) } } }', "SELECT l_returnflag, l_linestatus AS st, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1, 2")
 add("q_join_inner", 'query orders { fetch(join: { table: customer, by: "o_custkey:c_custkey" }) { c_mktsegment(from: customer) { v: sum(a: o_totalprice) } } }', "SELECT c_mktsegment, round(sum(o_totalprice), 4) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 add("q_join_on", 'query orders { fetch { innerJoin(table: customer, on: { c_custkey: "@o_custkey" }) { c_nationkey { n: count(a: o_orderkey) } } } }', "SELECT c_nationkey, count(o_orderkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 for _kind, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
     for _outer in ("", "Outer"):
         add(f"q_join_{_kind}{_outer.lower()}", f'query supplier {{ fetch {{ {_kind}{_outer}Join(table: nation, by: "s_nationkey:n_nationkey") {{ n_name {{ n: count(a: s_suppkey) }} }} }} }}', f"SELECT n_name, count(s_suppkey) AS n FROM supplier {_sql} JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
-add("q_join_theta", 'query nation { fetch(leftJoin: { table: region, by_gt: "n_regionkey:r_regionkey", by_lte: "n_regionkey:r_regionkey" }) { n_regionkey { n: count(a: r_name, from: region) } } }', "SELECT n_regionkey, count(r_name) AS n FROM nation LEFT JOIN region ON n_regionkey > r_regionkey AND n_regionkey <= r_regionkey GROUP BY 1")
+add("q_join_theta", 'query nation { fetch(leftJoin: { table: region, by_gt: "n_nationkey:r_regionkey", by_lte: "n_regionkey:r_regionkey" }) { n_regionkey { n: count(a: r_name, from: region) } } }', "SELECT n_regionkey, count(r_name) AS n FROM nation LEFT JOIN region ON n_nationkey > r_regionkey AND n_regionkey <= r_regionkey GROUP BY 1")
+add("q_join_lt", 'query nation { fetch(join: { table: region, by_lt: "n_regionkey:r_regionkey" }) { n_name { n: count(a: r_name) } } }', "SELECT n_name, count(r_name) AS n FROM nation JOIN region ON n_regionkey < r_regionkey GROUP BY 1")
 add("q_join_theta_gt", 'query nation { fetch(join: { table: region, by_gte: "n_regionkey:r_regionkey" }) { n_name { n: count(a: r_name) } } }', "SELECT n_name, count(r_name) AS n FROM nation JOIN region ON n_regionkey >= r_regionkey GROUP BY 1")
-add("q_join_like", 'query nation { fetch(join: { table: region, by_like: "n_name:r_name" }) { r_name { n: count(a: n_name) } } }', "SELECT r_name, count(n_name) AS n FROM nation JOIN region ON n_name LIKE r_name GROUP BY 1")
+add("q_join_like", 'query customer { segs: with(c_mktsegment_like: "%U%") { c_mktsegment { held: count(a: c_custkey) } } fetch(join: { table: segs, by_like: "c_mktsegment:c_mktsegment" }) { c_mktsegment { n: count(a: c_custkey) } } }', "SELECT c_mktsegment, count(c_custkey) AS n FROM customer JOIN (SELECT c_mktsegment AS m FROM customer WHERE c_mktsegment LIKE '%U%' GROUP BY 1) ON c_mktsegment LIKE m GROUP BY 1", "")
 add("q_join_on_tree", 'query supplier { fetch(join: { table: nation, on: { n_nationkey: "@s_nationkey", or: [{ n_regionkey: { gt: 2 } }, { n_name: { regex: "%A%" } }] } }) { n_name { n: count(a: s_suppkey) } } }', "SELECT n_name, count(s_suppkey) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey AND (n_regionkey > 2 OR n_name LIKE '%A%') GROUP BY 1")
 add("q_join_from", 'query orders { fetchPlain(join: { table: customer, by: "@o_custkey:@c_custkey" }) { k: o_orderkey seg: from(from: customer, a: c_mktsegment) c_nationkey(from: customer) } }', "SELECT o_orderkey AS k, c_mktsegment AS seg, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
 CTE = """query lineitem {
@@ -135,10 +143,11 @@ add("q_dir_diff", YEARS % ("", "@diff(by: before)", "@diff(by: now)", ""), BOTH
 add("q_dir_subtract", YEARS % ("", "@subtract(by: before)", "", ""), BOTH % "n.v - b.v", "now")
 add("q_dir_indexed", YEARS % ("", "@indexed(to: before)", "", ""), TWO + "SELECT o_orderpriority, round(v / (SELECT max(v) FROM (SELECT v FROM now UNION ALL SELECT v FROM before)), 4) AS v FROM now", "now")
 add("q_dir_indexed_group", YEARS % ("", "@indexed(group: g)", "@indexed(group: g)", ""), TWO + "SELECT o_orderpriority, round(v / (SELECT max(v) FROM (SELECT v FROM now UNION ALL SELECT v FROM before)), 4) AS v FROM before", "before")
-add("q_dir_filter_row", "query lineitem { fetch { l_suppkey @filter(n_gt: 50, qty_lt: 2000) { n: count(a: l_orderkey) qty: sum(a: l_quantity) } } }", "SELECT l_suppkey, count(l_orderkey) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1 HAVING count(l_orderkey) > 50 AND sum(l_quantity) < 2000")
+add("q_dir_filter_row", "query lineitem { fetch { l_suppkey @filter(n_gt: 590, qty_lt: 15600) { n: count(a: l_orderkey) qty: sum(a: l_quantity) } } }", "SELECT l_suppkey, count(l_orderkey) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1 HAVING count(l_orderkey) > 590 AND sum(l_quantity) < 15600")
 add("q_dir_filter_val", "query lineitem { fetch { l_suppkey { n: count(a: l_orderkey) @filter(gt: 600) qty: sum(a: l_quantity) } } }", "SELECT l_suppkey, CASE WHEN count(l_orderkey) > 600 THEN count(l_orderkey) END AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY 1")
 add("q_dir_group_on", 'query part { fetch { p_type @groupOn(n_lt: 340, replacers: { p_type: "Other" }) { n: count(a: p_partkey) price: sum(a: p_retailprice) } } }', "SELECT CASE WHEN n < 340 THEN 'Other' ELSE p_type END AS p_type, sum(n)::BIGINT AS n, round(sum(price), 4) AS price FROM (SELECT p_type, count(p_partkey) AS n, sum(p_retailprice) AS price FROM part GROUP BY 1) GROUP BY 1")
 add("q_dir_omit", "query part { fetch { p_type { n: count(a: p_partkey) @omit hi: max(a: p_size) } } }", "SELECT p_type, max(p_size) AS hi FROM part GROUP BY 1")
+add("q_dir_omit_full", "query part { fetch { p_type { n: count(a: p_partkey) @omit(full: true) hi: max(a: p_size) } } }", "SELECT p_type, max(p_size) AS hi FROM part GROUP BY 1")
 add("q_metric_alias", YEARS % ("", "growth: v @diff(by: before)", "growth: v", ""), TWO + "SELECT o_orderpriority, round(n.v, 4) AS v, round(n.v / nullif(b.v, 0) - 1, 4) AS growth FROM now n LEFT JOIN before b USING (o_orderpriority)", "now")
 
 
@@ -162,6 +171,15 @@ QUERIES["q_limited_parent"] = q_limited_parent
 SQL["q_limited_parent"] = "SELECT o_custkey, o_orderstatus, count(o_orderkey) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 4) GROUP BY 1, 2"
 
 
+def q_having_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level below one that having filtered holds that level's keys only."""
+    return rounded(engine(spark, sf_dir).frames("query lineitem { fetch(filters: { having: { n: { gt: 600 } } }) { l_suppkey { n: count(a: l_orderkey) l_returnflag { qty: sum(a: l_quantity) } } } }")[""][1])
+
+
+QUERIES["q_having_levels"] = q_having_levels
+SQL["q_having_levels"] = "SELECT l_suppkey, l_returnflag, round(sum(l_quantity), 4) AS qty FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(l_orderkey) > 600) GROUP BY 1, 2"
+
+
 def q_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = engine(spark, sf_dir).levels("query lineitem { fetch { l_returnflag { l_linestatus(type: Array) { n: count(a: l_orderkey) } } } }")[""]
     return nested_json(levels[0])
@@ -173,15 +191,25 @@ SQL["q_nested_json"] = """SELECT '{' || string_agg('"' || f || '":{"l_linestatus
     SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY f)"""
 
 
-def q_ga_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def analytics(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     def provider(params: dict) -> DataFrame:
         e = spark.read.parquet(f"{sf_dir}/events.parquet")
         return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("date"), "event_type").agg(F.count("*").alias("hits"), F.sum("value").alias("revenue"))
 
-    text = 'query events($source: GA) { fetch(start_date: "2024-01-01") { date(groupBy: month) { event_type(sort_desc: hits) { hits rate: divide(a: revenue, by: hits) top: indexed(a: revenue) } } } }'
     return rounded(engine(spark, sf_dir, provider=provider).frame(text))
 
 
+def q_ga_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics(spark, sf_dir, 'query events($source: GA) { fetch(start_date: "2024-01-01") { date(groupBy: month) { event_type(sort_desc: hits) { hits rate: divide(a: revenue, by: hits) top: indexed(a: revenue) } } } }')
+
+
+def q_ga_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics(spark, sf_dir, 'query events($source: GA) { fetch(start_date: "2024-01-01") { date(groupBy: week) { event_type { hits first: indexed(a: revenue, alg: first) } } } }')
+
+
+QUERIES["q_ga_first"] = q_ga_first
+SQL["q_ga_first"] = """WITH w AS (SELECT date_trunc('week', ts)::TIMESTAMP AS date, event_type, count(*) AS hits, sum(value) AS v FROM events GROUP BY date_trunc('week', ts), event_type)
+SELECT date, event_type, hits, round(v / (SELECT v FROM w ORDER BY date, event_type LIMIT 1), 4) AS first FROM w"""
 QUERIES["q_ga_rollup"] = q_ga_rollup
 SQL["q_ga_rollup"] = """SELECT date_trunc('month', ts)::TIMESTAMP AS date, event_type, count(*) AS hits, round(sum(value) / count(*), 4) AS rate,
   round(sum(value) / max(sum(value)) OVER (), 4) AS top FROM events GROUP BY date_trunc('month', ts), event_type"""

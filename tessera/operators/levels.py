@@ -25,6 +25,8 @@ from .predicates import Tree, simple, tree
 
 #: Arguments of a fetch that aren't filters.
 RESERVED = {"table", "filters", "from", "search", "type"}
+#: Arguments of a dimension.
+DIM_ARGS = {"type", "from", "groupBy", "groupByEach", "groupByAlias", "sort_desc", "sort_asc", "limit", "offset", "cutoff", "fields", "format", "name", "alias"}
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,7 @@ class Level:
     df: DataFrame
     dims: tuple[Dim, ...]
     metrics: tuple[Metric, ...]
+    unkeyed: tuple[str, ...] = ()  # metrics that are grouping keys beside the dimensions
 
     @property
     def keys(self) -> list[str]:
@@ -90,8 +93,14 @@ class Frame:
         raise QueryError(f"{name!r} isn't a dimension of this level")
 
     def total(self, fn: Callable[[Column], Column], column: str) -> Column:
-        """One value over the whole frame, as a scalar subquery: no window over a single partition."""
-        return self.df.select(fn(F.col(f"`{column}`").cast("double"))).scalar()
+        """One value over the whole frame, as a scalar subquery: no window over a single partition. It
+        reads every aggregate of the frame, so that the aggregation below stays the same as the
+        level's own and its exchange is reused: one scan, not two."""
+        value = fn(F.col(f"`{column}`").cast("double"))
+        others = [F.max(F.hash(f"`{c}`")) for c in self.df.columns if c != column and c not in {k.name for k in self.dims}]
+        if others:
+            value = F.when(F.hash(*others) >= F.lit(-(2**31)), value)  # always so
+        return self.df.select(value).scalar()
 
 
 @dataclass
@@ -100,6 +109,7 @@ class LevelContext:
     dims: list[Key]
     searched: dict[str, str]
     rows: DataFrame
+    fields: tuple[Field, ...] = ()  # all metrics of the level
 
     def arg(self, f: Field, name: str = "a") -> Column:
         return self.scope.col(f.args[name], f.args.get("from"))
@@ -116,6 +126,19 @@ class LevelContext:
         return [k.name for k in self.dims]
 
 
+def named_in(tree: Any) -> set[str]:
+    """The metrics that a having tree names."""
+    if isinstance(tree, list):
+        return set().union(*map(named_in, tree)) if tree else set()
+    out: set[str] = set()
+    for key, v in tree.items() if isinstance(tree, dict) else ():
+        if key in ("and", "or", "nor", "not"):
+            out |= named_in(v)
+        elif key not in ("from", "inherited"):
+            out.add(key.lstrip("@"))
+    return out
+
+
 @dataclass(frozen=True)
 class Wanted:
     """What a walk down the selection has gathered: the rows, the dimensions, the order."""
@@ -126,7 +149,7 @@ class Wanted:
     limit: int | None = None
     offset: int | None = None
     cutoff: str | None = None
-    within: tuple[DataFrame, tuple[str, ...]] | None = None
+    within: tuple[DataFrame, tuple[str, ...]] | None = None  # the keys that a level above leaves
 
 
 class LevelBuilder:
@@ -148,7 +171,10 @@ class LevelBuilder:
             self.filters = {"and": [self.filters, {"search": f.args["search"]}]} if self.filters else {"search": f.args["search"]}
         self.having = f.args.get("filters", {}).get("having")
         self.levels: list[Level] = []
+        self.held = False
         self.walk(f.fields or (), Wanted(scope))
+        if self.having and not self.held:
+            raise QueryError(f"having: no level has {', '.join(map(repr, named_in(self.having)))}")
         return self.levels
 
     def walk(self, fields: tuple[Field, ...], w: Wanted) -> None:
@@ -170,10 +196,10 @@ class LevelBuilder:
             else:
                 children.append(f)
         if metrics:
-            level = self.build(w, metrics)
+            level, filtered = self.build(w, metrics)
             self.levels.append(level)
             if children:
-                within = (level.df.select(*level.keys), tuple(level.keys)) if w.limit is not None or w.offset is not None else w.within
+                within = (level.df.select(*level.keys), tuple(level.keys)) if w.limit is not None or w.offset is not None or filtered else w.within
                 own = {k.name for d in w.dims for k in d.keys}
                 w = replace(w, sorts=tuple(s for s in w.sorts if s[0] in own), limit=None, offset=None, cutoff=None, within=within if w.dims else None)
         elif not children:
@@ -190,6 +216,8 @@ class LevelBuilder:
         )
 
     def dim(self, f: Field, scope: Scope) -> Dim:
+        if unknown := f.args.keys() - DIM_ARGS:
+            raise QueryError(f"{f.name} has no argument {', '.join(map(repr, sorted(unknown)))}")
         array = f.args.get("type") == "Array"
         if f.name == "combine":
             if not f.args.get("fields"):
@@ -200,7 +228,10 @@ class LevelBuilder:
 
     def key(self, spec: dict, scope: Scope) -> Key:
         name, label = spec["name"], spec.get("alias") or spec["name"]
-        c = scope.col(name, spec.get("from"))
+        if spec.get("groupByAlias") and "groupBy" not in spec:
+            raise QueryError("groupByAlias names a table of groupBy")
+        # The bucket belongs to the table that groupByAlias names, else to that of from.
+        c = scope.col(name, spec.get("from") or (spec["groupByAlias"] if spec.get("groupByAlias") in scope.tables else None))
         if "groupByEach" in spec:
             n = spec["groupByEach"]
             if not isinstance(n, (int, float)) or n <= 0:
@@ -216,7 +247,8 @@ class LevelBuilder:
         parts += [found] if found is not None else []
         return (scope.df.filter(reduce(and_, parts)) if parts else scope.df), searched
 
-    def build(self, w: Wanted, fields: list[Field]) -> Level:
+    def build(self, w: Wanted, fields: list[Field]) -> tuple[Level, bool]:
+        """The level, and whether ``having`` filtered it: the levels below it are then restricted to its keys."""
         rows, searched = self.rows(w.scope)
         dims = [k for d in w.dims for k in d.keys]
         if w.within:
@@ -224,7 +256,7 @@ class LevelBuilder:
             held = frame.select(*(F.col(f"`{n}`").alias(f"__in_{n}") for n in names))
             values = {k.name: k.value for k in dims}
             rows = rows.join(held, reduce(and_, (values[n].eqNullSafe(F.col(f"`__in_{n}`")) for n in names)), "left_semi")
-        ctx = LevelContext(replace(w.scope, df=rows), dims, searched, rows)
+        ctx = LevelContext(replace(w.scope, df=rows), dims, searched, rows, tuple(fields))
         specs: dict[str, MetricSpec | None] = {}
         sorts = list(w.sorts)
         limit, offset = w.limit, w.offset
@@ -240,6 +272,8 @@ class LevelBuilder:
         for s in specs.values():
             for name, value in (s.pre if s else {}).items():
                 rows = rows.withColumn(name, value)
+            if s and s.beside and not dims:
+                rows = s.beside(rows)
         grouped = bool(dims) or any(s and (s.aggs or s.sub) for s in specs.values()) or any(s and s.pre for s in specs.values())
         columns = {f.label: (specs[f.label].column if specs[f.label] and specs[f.label].column else f.label) for f in fields}
         if grouped:
@@ -254,7 +288,9 @@ class LevelBuilder:
             names.append("cutoff")
         df = self.ordered(df.select(*(F.col(f"`{n}`") for n in dict.fromkeys(names))), sorts, limit, offset, [k.name for k in dims])
         metrics = tuple(Metric(f.label, columns[f.label], f.directives, f.args.get("type") == "Array") for f in fields)
-        return Level(df, w.dims, metrics)
+        filtered = grouped and self.applies(dims, fields)
+        self.held |= filtered
+        return Level(df, w.dims, metrics, tuple(f.label for f in fields if specs[f.label] and specs[f.label].key is not None)), filtered
 
     def grouped(self, rows: DataFrame, w: Wanted, ctx: LevelContext, dims: list[Key], fields: list[Field], specs: dict, columns: dict) -> DataFrame:
         keys = list(dims)
@@ -292,8 +328,25 @@ class LevelBuilder:
                 else:
                     df = df.withColumn(f"__{f.label}", own.scalar())
         frame = Frame(df, keys)
+        done: set[str] = set()
+        if self.applies(dims, fields):  # before any total: those are over the groups that are left
+            names = named_in(self.having)
+            first = [f for f in fields if f.label in names and specs[f.label] is not None and columns[f.label] not in df.columns]
+            for f in first:
+                s = specs[f.label]
+                df = df.withColumn(columns[f.label], F.col(f"`__{f.label}`") if s.sub is not None else s.post(frame))
+                done.add(f.label)
+
+            def column(name: str, table: str | None) -> Column:
+                return F.col(f"`{columns.get(name, name)}`") if columns.get(name, name) in df.columns else frame.key(name)
+
+            found = Tree(column, lambda t: t in w.scope.tables).all(self.having)
+            df = df.filter(found) if found is not None else df
+            frame = Frame(df, keys)
         for f in fields:
             s, name = specs[f.label], columns[f.label]
+            if f.label in done:
+                continue
             if s is None:
                 value = self.bare(f, frame, specs, columns, widths)
             elif s.sub is not None:
@@ -307,17 +360,14 @@ class LevelBuilder:
             if name not in {k.name for k in keys} or s is not None:
                 df = df.withColumn(name, value)
         if w.cutoff:
-            df = df.withColumn("cutoff", F.col("__cutoff").cast("double") / Frame(df, keys).total(F.sum, "__cutoff"))
-        if self.having:
-            def column(name: str, table: str | None) -> Column:
-                if name in df.columns:
-                    return F.col(f"`{name}`")
-                return frame.key(name)
-
-            found = Tree(column, lambda t: t in w.scope.tables).all(self.having)
-            df = df.filter(found) if found is not None else df
+            df = df.withColumn("cutoff", F.col("__cutoff").cast("double") / frame.total(F.sum, "__cutoff"))
         return df
 
+    def applies(self, dims: list[Key], fields: list[Field]) -> bool:
+        """``having`` filters the levels that have every metric or dimension it names."""
+        known = {f.label for f in fields} | {n for k in dims for n in (k.name, k.source)}
+        return bool(self.having) and named_in(self.having) <= known
+
     def bare(self, f: Field, frame: Frame, specs: dict, columns: dict, widths: dict) -> Column:
         for kind, add in (("min", lambda n: 0), ("max", lambda n: n - 1)):
             for name, n in widths.items():

@@ -29,20 +29,22 @@ class MetricSpec:
     plain: Column | None = None
     sub: Callable[[LevelContext], DataFrame] | None = None
     distinct: bool = False
+    beside: Callable[[DataFrame], DataFrame] | None = None  # rows with hidden columns, where nothing is grouped
     column: str | None = None  # the output column, where it isn't the label
 
 
-#: Aggregates of one column that ``divide`` can name; any other one-argument aggregate of Spark works too.
+#: Aggregates of one column, those that ``divide`` can name.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count": F.count, "countDistinct": F.count_distinct,
+    "median": F.median, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "stddev_samp": F.stddev_samp,
+    "variance": F.variance, "var_pop": F.var_pop, "var_samp": F.var_samp,
 }
 
 
 def aggregate(name: str) -> Callable[[Column], Column]:
-    found = AGGREGATES.get(name) or (getattr(F, name, None) if not name.startswith("_") else None)
-    if found is None:
+    if name not in AGGREGATES:
         raise QueryError(f"unknown aggregate {name!r}")
-    return found
+    return AGGREGATES[name]
 
 
 def need(f: Field, *names: str) -> None:
@@ -69,12 +71,25 @@ def avg(ctx: LevelContext, f: Field) -> MetricSpec:
     if "by" not in f.args:
         return one(f, F.avg(ctx.arg(f)))
     over = lambda x, p: F.avg(x).over(Window.partitionBy(p))
-    return MetricSpec(plain=over(ctx.arg(f), ctx.arg(f, "by")), post=lambda frame: over(frame.key(f.args["a"]), frame.key(f.args["by"])))
+    value, part, hidden = ctx.arg(f), ctx.arg(f, "by"), f"__{f.label}"
+
+    def beside(rows: DataFrame) -> DataFrame:
+        """The averages joined to the rows: a window would bring all rows of a part to one task."""
+        own = rows.groupBy(part.alias(f"{hidden}_by")).agg(F.avg(value).alias(hidden))
+        return rows.join(own, part.eqNullSafe(F.col(f"{hidden}_by")), "left").drop(f"{hidden}_by")
+
+    return MetricSpec(plain=F.col(hidden), beside=beside, post=lambda frame: over(frame.key(f.args["a"]), frame.key(f.args["by"])))
 
 
 def percentile(ctx: LevelContext, f: Field) -> MetricSpec:
+    """Exact. All percentiles of a column share one pass and one buffer, as long as a group has
+    different values."""
     need(f, "a")
-    return one(f, F.percentile(ctx.arg(f), F.lit(float(f.args.get("factor", 0.5)))))
+    same = [x for x in ctx.fields if x.name == "percentile" and (x.args.get("a"), x.args.get("from")) == (f.args["a"], f.args.get("from"))]
+    factors = sorted({float(x.args.get("factor", 0.5)) for x in same})
+    hidden = f"__percentile_{f.args.get('from', '')}_{f.args['a']}"
+    place = factors.index(float(f.args.get("factor", 0.5)))
+    return MetricSpec(aggs={hidden: F.percentile(ctx.arg(f), F.array(*map(F.lit, factors)))}, post=lambda frame: F.col(f"`{hidden}`")[place])
 
 
 def side(ctx: LevelContext, f: Field, arg: str) -> Column:
@@ -152,8 +167,11 @@ def ranking(ctx: LevelContext, f: Field) -> MetricSpec:
     alg = f.args.get("alg", "denseRank")
     if alg not in RANKS:
         raise QueryError(f"unknown ranking {alg!r}")
-    order = F.desc_nulls_first(ctx.arg(f))
-    w = Window.partitionBy(ctx.part(f.args["by"])).orderBy(order) if "by" in f.args else Window.orderBy(order)
+    order = [F.desc_nulls_first(ctx.arg(f))]
+    if alg == "rowNumber":  # ties by the dimensions, then by the rows' own columns
+        order += [F.asc_nulls_last(k.value) for k in ctx.dims]
+        order += [F.asc_nulls_last(ctx.scope.df[f"`{c}`"]) for c, t in ctx.scope.df.dtypes if not t.startswith(("map", "variant"))]
+    w = Window.partitionBy(ctx.part(f.args["by"])).orderBy(*order) if "by" in f.args else Window.orderBy(*order)
     hidden = f"__rank_{f.label}"
     return MetricSpec(pre={hidden: RANKS[alg]().over(w)}, key=F.col(hidden), plain=F.col(hidden))
 

@@ -20,8 +20,18 @@ class Catalog:
         return Catalog(spark, {n: (lambda n=n: spark.read.parquet(f"{folder}/{n}.parquet")) for n in names})
 
     @staticmethod
-    def jdbc(spark: SparkSession, url: str, names: tuple[str, ...], **options: str) -> Catalog:
-        return Catalog(spark, {n: (lambda n=n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load()) for n in names})
+    def jdbc(spark: SparkSession, url: str, names: tuple[str, ...], partitions: Mapping[str, tuple[str, object, object, int]] | None = None, **options: str) -> Catalog:
+        """Tables of a database. ``partitions`` has (column, lowest, highest, number) for tables that
+        are read in several ranges of a column at once; others are read by one task."""
+
+        def read(name: str) -> DataFrame:
+            r = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+            if name in (partitions or {}):
+                column, low, high, n = partitions[name]
+                r = r.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(n))
+            return r.load()
+
+        return Catalog(spark, {n: (lambda n=n: read(n)) for n in names})
 
     def table(self, name: str) -> DataFrame:
         found = self.tables.get(name)
