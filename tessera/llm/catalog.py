@@ -7,9 +7,9 @@ from .bpe_codec import op4_bpe_codec
 from .exact_search import OP1_SQL, op1_exact_top_k
 from .language_id import op2_language_id
 from .line_templates import op5_line_templates
-from .minhash import op9_minhash
+from .minhash import OP9_SQL, op9_minhash
 from .packing import op8_best_fit
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .token_files import op6_token_files
 from .toxicity import op10_toxicity
 
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op9_minhash": OP9_SQL}

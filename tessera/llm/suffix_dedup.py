@@ -1,27 +1,30 @@
 """Dedup of byte strings that repeat across documents.
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts in a document with a smaller
-doc_id. The work is dealt out by content, and each part is settled by one round of bucket refinement:
+doc_id. The work is dealt out by content, and each part is settled by bucket-pointer refinement:
 
 1. Every string of LENGTH bytes is represented by the least hash of the GRAM-byte strings in it (the
    leftmost of equals), so equal strings have the same representative at the same offset. Neighbouring
    strings share one: about one *anchor* stands for 18 strings.
 2. Documents lie in home groups of bounded size. Each group sends its different anchor hashes, and gets
    back which of them other documents hold too.
-3. Strings of such anchors travel as text to the part of their anchor. There the FIRST-byte strings
-   that they are made of are put in buckets by a 64-bit hash, and the buckets are refined by the bucket
-   numbers of later offsets. FIRST is half of LENGTH, so this is a single round: strings are equal if
-   both halves have equal hashes, and suffixes aren't sorted by their bytes. The least doc_id of each
-   bucket says which occurrences go.
+3. Strings of such anchors travel as text to the part of their anchor. There all suffixes are put in
+   buckets by their first FIRST bytes; a suffix's bucket pointer is the place where its bucket begins in
+   the suffix array. Each round sorts the suffixes of buckets that aren't settled by their own pointer
+   and the pointer at the suffix as many bytes further on as are sorted by now, and writes the new
+   pointers back, which the next round reads: 8 bytes, then 16, 32 and LENGTH. Bytes are compared, not
+   hashes: in steps 1 and 2 equal hashes of different strings only mean that more text is sent. The
+   least doc_id of each bucket says which occurrences go.
 4. The home groups take the spans out of their documents.
 
 An anchor that very many home groups hold (a passage in a third of all documents) isn't one part:
 each of its strings is dealt by its own hash, and equal strings are sent once by each home group.
 Groups' replies are bits, so nothing here grows with the number of copies in one task.
 
-Defined cases: a null text is an empty one; texts under LENGTH bytes lose nothing; rows with one
-doc_id lose nothing to each other; a row with a null doc_id neither loses nor takes; repeated rows
-are each settled; extra columns are not read; an empty table gives no rows.
+Defined cases: doc_id is an integer column (else a ValueError); a null text is an empty one; texts
+under LENGTH bytes lose nothing; rows with one doc_id lose nothing to each other; a row with a null
+doc_id neither loses nor takes; repeated rows are each settled; extra columns are not read by ``dedup``
+and kept by ``dedup_texts``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_text, mixed, n_partitions, table, text_bytes
+from .common import flat_text, give_back, mixed, n_partitions, small_batches, table, text_bytes, tidy
 
 LENGTH = 50
 GRAM = 16
-#: The first buckets are of strings of half the length.
-FIRST = LENGTH // 2
+#: The bytes that the first buckets go by: a number of 64 bits.
+FIRST = 8
 CHUNK = 1 << 19
 #: Bytes of text for each home group, each part of the hashes, and each part of the strings.
 HOME_BYTES = 8 << 20
@@ -89,50 +92,37 @@ def anchors(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """Of the FIRST bytes from each place that has as many."""
-    n = len(text) - FIRST + 1
-    w = words_at(np.concatenate([text, np.zeros(8, np.uint8)]), len(text))
-    h = np.full(n, FIRST, np.uint64)
-    for k in [*range(0, FIRST - 8, 8), FIRST - 8]:
-        h = mixed(h * np.uint64(0x9FB21C651E98DF25) + w[k : k + n])
-    return h
-
-
-def refined_buckets(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A number for each start: equal where the LENGTH bytes from there are equal. Buckets of
-    FIRST-grams are refined by the bucket numbers at later offsets, which makes them up to twice as
-    deep; the new numbers serve the next round. Buckets of one suffix are settled."""
-    gaps, depth = [0], LENGTH
-    while depth > FIRST:  # the offsets whose buckets the rounds will read
-        step = max(FIRST, -(-depth // 2))
-        gaps = sorted({*gaps, *(g + depth - step for g in gaps)})
-        depth = step
-    n, h = len(starts), gram_hashes(text)
-    bucket = dict(zip(gaps, numbered(np.concatenate([h[starts + g] for g in gaps])).reshape(len(gaps), n)))
+def refined_pointers(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The bucket pointer of the suffix at each place of ``text``: the place in the order of suffixes,
+    compared by their first ``length`` bytes (zeros beyond the end), of the first one of its bucket.
+    Places where that many bytes are equal have the same pointer."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(length + FIRST, np.uint8)])
+    key = np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+    order = np.argsort(key)
+    pointer = np.empty(n, np.int32)
+    pointer[order] = starts_of_runs(key[order])
     depth = FIRST
-    while depth < LENGTH:
-        step = min(depth, LENGTH - depth)
-        deeper = {}
-        for g in [g for g in gaps if g + step in bucket]:
-            own, later = bucket[g], bucket[g + step]
-            top = int(own.max()) + 1
-            open_ = np.flatnonzero(np.bincount(own)[own] > 1)
-            fresh = numbered(own[open_].astype(np.int64) * (int(later.max()) + 1) + later[open_])
-            deeper[g] = own.copy()
-            deeper[g][open_] = fresh + np.int32(top)
-        bucket, depth = deeper, depth + step
-    return bucket[0]
-
-
-def numbered(key: np.ndarray) -> np.ndarray:
-    """Numbers from 0 in the order of the keys, equal for equal keys."""
-    out = np.zeros(len(key), np.int32)
-    if len(key):
+    while depth < length:
+        step = min(depth, length - depth)
+        open_ = np.flatnonzero(np.bincount(pointer, minlength=n)[pointer] > 1)
+        if not len(open_):
+            break
+        own, later = pointer[open_].astype(np.int64), open_ + step
+        key = own << 32 | np.where(later < n, pointer[np.minimum(later, n - 1)] + 1, 0)
         order = np.argsort(key)
-        key = key[order]
-        out[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
-    return out
+        own = own[order]
+        pointer[open_[order]] = own + starts_of_runs(key[order]) - starts_of_runs(own)
+        depth += step
+    return pointer
+
+
+def starts_of_runs(key: np.ndarray) -> np.ndarray:
+    """For each place of sorted keys the first place with that key."""
+    first = np.zeros(len(key), np.int32)
+    at = np.flatnonzero(key[1:] != key[:-1]) + 1
+    first[at] = at
+    return np.maximum.accumulate(first)
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -261,19 +251,23 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
     def settle(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         found = [parted(b, np.uint8, np.int32, np.int32, np.int32, np.uint32, np.int32, np.int64) for b in t.column("blob").to_pylist()]
-        text = np.concatenate([f[0] for f in found])
-        size = np.concatenate([f[1] for f in found]).astype(np.int64)
+        texts: dict[bytes, int] = {}  # home groups may send the same stretch
+        place = []
+        for f in found:
+            raw, ends = f[0].tobytes(), np.cumsum(f[1], dtype=np.int64)
+            place.append(np.fromiter((texts.setdefault(raw[a:b], len(texts)) for a, b in zip((ends - f[1]).tolist(), ends.tolist())), np.int64, len(ends)))
+        text, size = np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+        del texts
         begin = np.cumsum(size) - size
         strings = size - LENGTH + 1
         first = np.cumsum(strings) - strings  # of each stretch's strings
         starts = np.repeat(begin - first, strings) + np.arange(int(strings.sum()))
-        bucket = refined_buckets(text, starts)
-        seen = np.cumsum([0, *(len(f[1]) for f in found)])
-        number = np.concatenate([f[2] + s for f, s in zip(found, seen)])
+        bucket = refined_pointers(text)[starts]
+        number = np.concatenate([p[f[2]] for f, p in zip(found, place)])
         ids = np.concatenate([f[6][f[3]] for f in found])
         own = np.full(len(size), 2**63 - 1)
         np.minimum.at(own, number, ids)
-        least = np.full(int(bucket.max()) + 1, 2**63 - 1)
+        least = np.full(len(text), 2**63 - 1)
         np.minimum.at(least, bucket, np.repeat(own, strings))
         least = least[bucket]
         out, done = [], 0
@@ -293,6 +287,7 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(row)) - 1
             out.append((home, part, joined(f[5][f[3]][row[a]], f[4][row[a]] + nth[a], f[4][row[b]] + nth[b] + LENGTH)))
+        give_back()
         return rows("home", out)
 
     answers = docs.groupBy("home").applyInArrow(send, blob).groupBy("part").applyInArrow(answer, "home long, part long, blob binary")
@@ -300,15 +295,21 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
     return texts.groupBy("part").applyInArrow(settle, "home long, part long, blob binary")
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary: the bytes that stay), a row each, and
-    the columns ``carry`` as they are."""
-    spark = df.sparkSession
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary: the bytes that stay), a row each."""
+    return carried(df, text, doc_id, [])
+
+
+def carried(df: DataFrame, text: str, doc_id: str, carry: list) -> DataFrame:
+    """As ``dedup``, with the columns ``carry`` of each row as carry_0, carry_1, ..."""
+    spark, extra = df.sparkSession, len(carry)
+    if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"{doc_id} must be an integer column: documents are compared by it")
     size = text_bytes(df, text)
     homes = max(n_partitions(spark), -(-size // HOME_BYTES))
     parts = max(n_partitions(spark), -(-size // PART_BYTES))
-    carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *carried).withColumn("home", F.pmod(F.xxhash64("id"), F.lit(homes)))
+    docs = small_batches(df).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(c.alias(f"carry_{i}") for i, c in enumerate(carry)))
+    docs = docs.withColumn("home", F.pmod(F.xxhash64("id", "text"), F.lit(homes)))
     fine = max(n_partitions(spark), -(-size // FINE_BYTES))
     spans = spans_of_repeats(docs, parts, fine, hot=HOT_HOMES)
 
@@ -329,35 +330,56 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tupl
         gone_to, begins_to = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (gone, begins))
         removed, spans_n = np.diff(gone_to[home.bounds]), np.diff(begins_to[home.bounds])
         kept = home.flat[~gone]
+        give_back()
         offsets = np.concatenate([[0], np.cumsum(n - removed)]).astype(np.int64)
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-        rest = [home.rows.column(f"carry_{i}") for i in range(len(carry))]
+        rest = [home.rows.column(f"carry_{i}") for i in range(extra)]
         return pa.table([home.rows.column("id"), pa.array(n), pa.array(removed), pa.array(spans_n), raw, *rest], names=out.fieldNames())
 
     out = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    for i, c in enumerate(carry):
-        out.add(f"carry_{i}", df.schema[c].dataType)
-    found = docs.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(remove, out)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
+    for f in docs.schema.fields[2:-1]:
+        out.add(f)
+    return docs.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(remove, out)
 
 
 def dedup_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with the repeats taken out of its texts. A character that lost some of its bytes goes
     altogether; a null text stays null; all other columns stay."""
-    others = tuple(c for c in df.columns if c not in (text, doc_id))
-    found = dedup(df.withColumn("__null", F.col(text).isNull()), text, doc_id, (*others, "__null"))
-    kept = found.select("doc_id", "kept", "__null", *others)
-    schema = kept.schema
+    others = [c for c in df.columns if c not in (text, doc_id)]
+    found = carried(df, text, doc_id, [F.col(f"`{c}`") for c in others] + [F.col(text).isNull()])
+    source = found.select("doc_id", "kept", *(f"carry_{i}" for i in range(len(others) + 1)))
 
     def read(batches):
         for b in batches:
-            texts = [None if null else k.decode("utf-8", "ignore") for k, null in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[3:]], names=[doc_id, text, *others])
+            texts = [None if null else k.decode("utf-8", "ignore") for k, null in zip(b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[2:-1]], names=out.fieldNames())
 
-    out = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField(text, T.StringType()), *schema.fields[3:]])
-    return kept.mapInArrow(read, out).select(*df.columns)
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *source.schema.fields[2:-1]])
+    places = {doc_id: F.col("doc_id").cast(df.schema[doc_id].dataType), text: F.col("text"), **{c: F.col(f"carry_{i}") for i, c in enumerate(others)}}
+    return source.mapInArrow(tidy(read), out).select(*(places[c].alias(c) for c in df.columns))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, upper(hex(encode(coalesce(text, '')))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), s AS (
+  SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS string FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS k FROM d)
+), f AS (
+  SELECT string, min(doc_id) AS first FROM s GROUP BY 1
+), g AS (
+  SELECT s.doc_id, s.k, lag(s.k) OVER w AS before_, lead(s.k) OVER w AS after_ FROM s JOIN f USING (string) WHERE f.first < s.doc_id
+  WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.k)
+), r AS (
+  SELECT doc_id, sum(least(50, coalesce(after_ - k, 50)))::BIGINT AS n_removed, count(*) FILTER (before_ IS NULL OR k > before_ + 50) AS n_spans,
+    string_agg(CASE WHEN after_ > k + 50 THEN substr(h, 2 * (k + 50) + 1, 2 * (after_ - k - 50)) WHEN after_ IS NULL THEN substr(h, 2 * (k + 50) + 1) ELSE '' END, '' ORDER BY k) AS rest, min(k) AS lead_
+  FROM g JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE substr(h, 1, 2 * lead_) || rest END)) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
