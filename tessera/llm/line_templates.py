@@ -182,7 +182,8 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
     several = texts.mapInArrow(tidy(fetch), "leaf long, line long, tokens array<string>, n long").groupBy("leaf").applyInArrow(group, "line long, template long")
     several = stored(several.filter("line <> template"))
     each = held.select("id", "line").join(several, "line", "left").select("id", "line", F.coalesce("template", "line").alias("template"))
-    recurring = each.select("template", "id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= least_docs)
+    # Stored, so that the join has a plain exchange on either side and Spark can split a common template.
+    recurring = stored(each.select("template", "id").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= least_docs))
     dropped = each.join(recurring, "template").filter("id <> first").groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
     joined = docs.withColumn(text, F.col(text).cast("string")).join(dropped, docs[doc_id] == F.col("__id"), "left").drop("__id")
 
