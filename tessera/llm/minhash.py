@@ -289,7 +289,8 @@ def grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
     full = rows.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("bands", "bands"), *((m, m) for m in MAPS)))))
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    # Stored, as below: a join then has a plain exchange on either side, of which Spark splits a hot bucket.
+    shared = stored(banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high"))
     buckets = stored(banded.join(shared, "key"))
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -307,7 +308,7 @@ def grouped(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
     labels = components(verified(pairs, texts, percent))
     for step in ("high", "across"):
         members = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        several = members.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("key")
+        several = stored(members.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("key"))
         members = stored(members.join(several, "key").select("key", "rep", "n", "label", "high"))
         if step == "high":
             found = members.filter("rep <> high").select(F.col("rep").alias("a"), F.col("high").alias("b")).distinct()
@@ -328,7 +329,7 @@ def across(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     bucket the classes outside its commonest label meet those of it and one another; a pair comes out
     in the first bucket that both share, and only if sizes and bitmaps allow the similarity."""
     count = members.groupBy("key", "label").agg(F.count("*").alias("held"))
-    main = count.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
+    main = stored(count.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("main")))
     rows = stored(members.select("key", "rep", "n", "label").join(main, "key").join(classes.select("rep", "bands", *MAPS), "rep"))
     one, big, rest = (rows.filter(f"label {x} main").alias(y) for x, y in (("<>", "one"), ("=", "two"), ("<>", "two")))
     both = F.col("one.n") + F.col("two.n")
