@@ -339,6 +339,15 @@ def test_exact_search(spark, monkeypatch):
         if q % 100 == 0:
             assert out[q] == [(s, i) for s, i in sorted(((int(v @ w), i) for i, w in good if i != q), key=lambda p: (-p[0], p[1]))][:10]
     assert exact_search.search(df.limit(0)).count() == 0
+    near = [(i, [float(c), float(c) + i / 1e4, 0.0], 1, 2) for i, c in enumerate([-90] * 100 + [0] * 100 + [90] * 100)]  # three far places and many equal rows
+    near += [(1000 + i, [5.0, 5.0, 5.0], 1, 2) for i in range(130)]
+    out = {}
+    for x in exact_search.search(spark.createDataFrame(near, VECTORS)).orderBy("query_id", "rank").collect():
+        out.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v, *_ in near]
+    for q, v in good:
+        if q % 100 == 0:
+            assert out[q] == [(s, i) for s, i in sorted(((int(v @ w), i) for i, w in good if i != q), key=lambda p: (-p[0], p[1]))][:10]
     huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0])], "vec_id long, embedding array<double>")
     assert exact_search.search(huge).first().score == 2**63 - 1
 
