@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memory, kept, sliced, small_batches, table, tidy
+from .common import Memory, flat_text, kept, sliced, small_batches, stretches, table, tidy
 
 # Fixed value: the pre-tokenizer pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,7 +40,7 @@ def byte_letters() -> list[str]:
 class ByteBpe:
     """Encoder and decoder over one vocabulary file; keeps a bounded memory of pieces."""
 
-    def __init__(self, path: str, remembered: int = 48 << 20):
+    def __init__(self, path: str, remembered: int = 96 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -53,6 +53,9 @@ class ByteBpe:
             self.strings[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.special.items():
             self.strings[i] = token.encode()
+        self.sizes = np.array([len(x) for x in self.strings], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.strings), np.uint8)
         self.of_byte = [vocab[c] for c in letters]
         self.rank, self.made = {}, []  # of a pair, as left << 32 | right; the id that each rank makes
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -61,7 +64,7 @@ class ByteBpe:
             self.made.append(vocab[a + b])
         self.split = regex.compile(PATTERN)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.chunks, self.pieces = Memory(remembered), Memory(remembered)
+        self.chunks, self.pieces = Memory(remembered // 3), Memory(remembered)
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token. An entry of the queue is rank << 32 | position."""
@@ -99,38 +102,82 @@ class ByteBpe:
             out += ids
         return tuple(out)
 
-    def plain(self, text: str, wide=re.compile(r"\s \s").search) -> list[int]:
-        """Ids of a text without special tokens. A single space before a word always begins a
-        pre-token, so the text falls into chunks that can be remembered; where white space
-        stands on both sides of a space it may not, and the text is one chunk."""
-        if wide(text):
-            return list(self.chunk(text))
-        first, *rest = text.split(" ")
-        out = list(self.chunk(first)) if first else []
+    def many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and the number of each. A single space always begins a
+        pre-token where white space doesn't stand on both sides of it, so texts without that (and without
+        special tokens) fall into chunks at their spaces; each different chunk is encoded once and
+        remembered. Other texts are encoded one by one."""
+        flat, bounds = flat_text(column)
+        space = flat == 0x20
+        white = space | ((flat >= 0x09) & (flat <= 0x0D)) | ((flat >= 0x1C) & (flat <= 0x1F))
+        two, three = flat == 0xC2, (flat >= 0xE1) & (flat <= 0xE3)  # other white space begins with these bytes
+        before = np.zeros(len(flat), bool)  # perhaps white space ends here
+        before[1:] = two[:-1]
+        before[2:] |= three[:-2]
+        odd = np.zeros(len(flat), bool)
+        odd[1:-1] = space[1:-1] & (white | before)[:-2] & (white | two | three)[2:]
+        odd[:-1] |= (flat[:-1] == 0x3C) & (flat[1:] == 0x7C)  # <|, as special tokens begin
+        total = np.concatenate([[0], np.cumsum(odd)])
+        single = np.flatnonzero(total[bounds[1:]] > total[bounds[:-1]])
+        own = np.zeros(len(flat) + 1, np.int64)
+        np.add.at(own, bounds[single], 1)
+        np.add.at(own, bounds[single + 1], -1)
+        alone = np.cumsum(own[:-1]) > 0
+        first = space.copy()
+        first[bounds[:-1][bounds[:-1] < len(flat)]] = True
+        start = np.flatnonzero(first & ~alone)
+        coded = stretches(flat, ~alone, start)
         known = self.chunks
-        for word in rest:
-            ids = known.get(word)
-            if ids is None and (ids := known.recall(word)) is None:
-                ids = known.keep(word, self.chunk(" " + word))
-            out += ids
-        return out
+        found = []
+        for w in coded.dictionary.to_pylist():
+            ids = known.recall(w)
+            found.append(known.keep(w, self.chunk(w.decode())) if ids is None else ids)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        every = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
+        at = coded.indices.to_numpy()
+        begin, size = (np.cumsum(size) - size)[at], size[at]
+        stop = np.cumsum(size)
+        ids = every[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        ends = np.concatenate([[0], stop])[np.searchsorted(start, bounds)]
+        count = np.diff(ends)
+        if len(single):
+            apart = [self.encode(column[int(i)].as_py()) for i in single]
+            parts, done = [], 0
+            for i, x in zip(single.tolist(), apart):
+                parts += [ids[done : ends[i]], np.array(x, np.int32)]
+                done = ends[i]
+                count[i] = len(x)
+            ids = np.concatenate([*parts, ids[done:]])
+        return ids, count
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         if not self.at_special or not self.at_special.search(text):
-            return self.plain(text)
+            return list(self.chunk(text))
         out: list[int] = []
         for part in self.at_special.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += self.plain(part)
+                out += self.chunk(part)
         return out
 
     def decode(self, ids) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decoded(self, ids: np.ndarray, count: np.ndarray) -> pa.Array:
+        """The texts that runs of ``count`` ids each stand for: the vocabulary's strings one after the other."""
+        size = self.sizes[ids]
+        stop = np.cumsum(size)
+        raw = self.letters[np.repeat(self.begins[ids] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(count)])].astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])
+        try:
+            return found.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # ids that don't make up whole characters
+            return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+
 
 def codec(path: str) -> ByteBpe:
     """The one that this Python worker keeps."""
@@ -147,13 +194,11 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in sliced(batches, "__text", 2 << 20):
-            found = [c.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            bounds = np.cumsum([0, *map(len, found)])
-            flat = np.fromiter((i for x in found for i in x), np.int32, bounds[-1])
-            columns = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))]
+        for b in sliced(batches, "__text", 4 << 20):
+            flat, count = c.many(b.column(b.num_columns - 1))
+            columns = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(flat, pa.int32()))]
             if decoded:
-                columns.append(pa.array([c.decode(x) for x in found], pa.string()))
+                columns.append(c.decoded(flat, count))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return source.mapInArrow(tidy(run, keeps=True), T.StructType(fields))

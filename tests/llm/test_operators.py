@@ -62,10 +62,17 @@ def test_bpe_is_the_library_s(spark, odd, none, docs):
 
 def test_bpe_on_random_white_space():
     t, c, r = tokenizer(BYTE), bpe_codec.ByteBpe(BYTE, remembered=2_000), random.Random(2)
-    pieces = [" ", "  ", "\n", "\t", "a", "the", "é", "12", "'s", "!", "\x1c", "\u0085", "<|endoftext|>", "\U0001f642"]
-    for _ in range(2000):
-        s = "".join(r.choice(pieces) for _ in range(r.randint(0, 12)))
-        assert c.encode(s) == t.encode(s, add_special_tokens=False).ids
+    pieces = [" ", "  ", "\n", "\t", "a", "the", "é", "12", "'s", "!", "\x1c", "\u0085", "\xa0", "\u3000", "<|endoftext|>", "<|", "\U0001f642"]
+    for _ in range(150):
+        texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 12))) for _ in range(20)] + [None, ""]
+        wanted = [t.encode(s or "", add_special_tokens=False).ids for s in texts]
+        assert [c.encode(s) for s in texts] == wanted
+        ids, count = c.many(pa.array(texts))
+        ends = np.cumsum(count)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, count)] == wanted
+        assert c.decoded(ids, count).to_pylist() == [t.decode(x, skip_special_tokens=False) for x in wanted]
+    broken = np.array(t.encode("é\U0001f642", add_special_tokens=False).ids[1:-1], np.int32)
+    assert c.decoded(broken, np.array([len(broken)])).to_pylist() == [t.decode(broken.tolist(), skip_special_tokens=False)]
 
 
 def test_pieces_are_the_library_s():
