@@ -152,8 +152,8 @@ add("q_metric_alias", YEARS % ("", "growth: v @diff(by: before)", "growth: v", "
 
 
 def q_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = engine(spark, sf_dir).frames("query lineitem { fetch { l_returnflag { qty: sum(a: l_quantity) l_linestatus { qty: sum(a: l_quantity) } } n: count(a: l_orderkey) } }")[""]
-    wide = [rounded(x).select(F.lit(i).alias("level"), *(F.col(c) if c in x.columns else F.lit(None).cast(t).alias(c) for c, t in (("l_returnflag", "string"), ("l_linestatus", "string"), ("qty", "double"), ("n", "long")))) for i, x in enumerate(levels)]
+    levels = engine(spark, sf_dir).levels("query lineitem { fetch { l_returnflag { qty: sum(a: l_quantity) l_linestatus { qty: sum(a: l_quantity) } } n: count(a: l_orderkey) } }", together=True)[""]
+    wide = [rounded(x.df).select(F.lit(i).alias("level"), *(F.col(c) if c in x.df.columns else F.lit(None).cast(t).alias(c) for c, t in (("l_returnflag", "string"), ("l_linestatus", "string"), ("qty", "double"), ("n", "long")))) for i, x in enumerate(levels)]
     return reduce(DataFrame.unionByName, wide)
 
 

@@ -3,6 +3,9 @@
 A level with metrics and sub-dimensions is split: each dimension chain is a plan of its own over the
 same source, with the keys of the levels above. Sort, limit and offset belong to the level that
 declares them; a limited level restricts those below it to its keys.
+
+Levels that are run as one job (``together``) are aggregated from the groups of the deepest one, where
+their metrics allow it: the source is scanned and shuffled once.
 """
 
 from __future__ import annotations
@@ -152,10 +155,22 @@ class Wanted:
     within: tuple[DataFrame, tuple[str, ...]] | None = None  # the keys that a level above leaves
 
 
+@dataclass(frozen=True)
+class Built:
+    """What a level was made of. ``merges``: how its aggregates come from those of finer groups, or None."""
+
+    wanted: Wanted
+    fields: list[Field]
+    grouped: DataFrame | None
+    aggs: dict[str, Column]
+    merges: dict[str, Callable[[Column], Column]] | None
+
+
 class LevelBuilder:
-    def __init__(self, lookup: Callable[[str], DataFrame], resolvers: dict[str, Any] | None = None):
+    def __init__(self, lookup: Callable[[str], DataFrame], resolvers: dict[str, Any] | None = None, together: bool = False):
         self.lookup = lookup
         self.resolvers = {**BUILT_IN, **(resolvers or {})}
+        self.together = together
 
     def fetch(self, f: Field, table: str | None) -> list[Level]:
         table = f.args.get("table", table)
@@ -171,11 +186,39 @@ class LevelBuilder:
             self.filters = {"and": [self.filters, {"search": f.args["search"]}]} if self.filters else {"search": f.args["search"]}
         self.having = f.args.get("filters", {}).get("having")
         self.levels: list[Level] = []
+        self.built: list[Built] = []
         self.held = False
         self.walk(f.fields or (), Wanted(scope))
         if self.having and not self.held:
             raise QueryError(f"having: no level has {', '.join(map(repr, named_in(self.having)))}")
-        return self.levels
+        return self.rolled() if self.together else self.levels
+
+    def rolled(self) -> list[Level]:
+        """The levels over one aggregation by the keys of the deepest; as they are where a metric can't be
+        merged, where a limit or having of a level restricts another, or where the dimensions branch."""
+        deepest = max(self.built, key=lambda x: len(x.wanted.dims))
+        keys = [k for d in deepest.wanted.dims for k in d.keys]
+        for x in self.built:
+            if x.merges is None or x.wanted.within or x.wanted.scope is not deepest.wanted.scope or deepest.wanted.dims[: len(x.wanted.dims)] != x.wanted.dims:
+                return self.levels
+        if len(self.built) < 2 or len({k.name for k in keys}) < len(keys):
+            return self.levels
+        rows, _ = self.rows(deepest.wanted.scope)
+        aggs = {f"__{i}{n}": c for i, x in enumerate(self.built) for n, c in x.aggs.items()}
+        base = rows.groupBy(*(k.value.alias(k.name) for k in keys)).agg(*(c.alias(n) for n, c in aggs.items()))
+        # Every level reads all aggregates, so that their exchange is the same and Spark runs it once.
+        every = F.hash(*(F.max(F.hash(f"`{n}`")) for n in aggs)) >= F.lit(-(2**31))
+        out = []
+        for i, (x, level) in enumerate(zip(self.built, self.levels)):
+            merged = {}
+            for n in x.aggs:
+                kind = x.grouped.schema[n]
+                value = F.when(every, x.merges[n](F.col(f"`__{i}{n}`"))).cast(kind.dataType)
+                merged[n] = value if kind.nullable else F.coalesce(value, F.lit(0))  # a count
+            own = [k for d in x.wanted.dims for k in d.keys]
+            df = base.groupBy(*(F.col(f"`{k.name}`") for k in own)).agg(*(c.alias(n) for n, c in merged.items()))
+            out.append(replace(level, df=self.build(x.wanted, x.fields, df)[0].df))
+        return out
 
     def walk(self, fields: tuple[Field, ...], w: Wanted) -> None:
         metrics, children = [], []
@@ -247,8 +290,9 @@ class LevelBuilder:
         parts += [found] if found is not None else []
         return (scope.df.filter(reduce(and_, parts)) if parts else scope.df), searched
 
-    def build(self, w: Wanted, fields: list[Field]) -> tuple[Level, bool]:
-        """The level, and whether ``having`` filtered it: the levels below it are then restricted to its keys."""
+    def build(self, w: Wanted, fields: list[Field], merged: DataFrame | None = None) -> tuple[Level, bool]:
+        """The level, and whether ``having`` filtered it: the levels below it are then restricted to its
+        keys. ``merged``: its groups, where they are made already."""
         rows, searched = self.rows(w.scope)
         dims = [k for d in w.dims for k in d.keys]
         if w.within:
@@ -274,11 +318,14 @@ class LevelBuilder:
                 rows = rows.withColumn(name, value)
             if s and s.beside and not dims:
                 rows = s.beside(rows)
-        grouped = bool(dims) or any(s and (s.aggs or s.sub) for s in specs.values()) or any(s and s.pre for s in specs.values())
+            if s and s.wider:
+                rows = s.wider(rows)
+        grouped = bool(dims) or any(s and (s.aggs or s.sub or s.pre or s.wider) for s in specs.values())
         columns = {f.label: (specs[f.label].column if specs[f.label] and specs[f.label].column else f.label) for f in fields}
         if grouped:
-            df = self.grouped(rows, w, ctx, dims, fields, specs, columns)
+            df = self.grouped(rows, w, ctx, dims, fields, specs, columns, merged)
         else:
+            self.built.append(Built(w, fields, None, {}, None))
             values = [(s.plain if s else w.scope.col(f.name, f.args.get("from"))).alias(f.label) for f, s in zip(fields, specs.values())]
             df = rows.select(*values)
             if any(s and s.distinct for s in specs.values()):
@@ -292,7 +339,7 @@ class LevelBuilder:
         self.held |= filtered
         return Level(df, w.dims, metrics, tuple(f.label for f in fields if specs[f.label] and specs[f.label].key is not None)), filtered
 
-    def grouped(self, rows: DataFrame, w: Wanted, ctx: LevelContext, dims: list[Key], fields: list[Field], specs: dict, columns: dict) -> DataFrame:
+    def grouped(self, rows: DataFrame, w: Wanted, ctx: LevelContext, dims: list[Key], fields: list[Field], specs: dict, columns: dict, merged: DataFrame | None = None) -> DataFrame:
         keys = list(dims)
         aggs: dict[str, Column] = {}
         for f in fields:
@@ -310,12 +357,18 @@ class LevelBuilder:
         keys = list(seen.values())
         values = [k.value.alias(k.name) for k in keys]
         widths = {k.name: k.width for k in dims if k.width}
-        if aggs:
+        if merged is not None:
+            df = merged
+        elif aggs:
             df = rows.groupBy(*values).agg(*(c.alias(n) for n, c in aggs.items()))
         elif keys:
             df = rows.select(*values).distinct()
         else:
             df = None
+        if merged is None:
+            merges = {n: s.merge for s in specs.values() if s for n in s.aggs} | ({"__cutoff": F.sum} if w.cutoff else {})
+            plain = all(s is None or (s.merge and not s.pre and not s.wider) for s in specs.values())
+            self.built.append(Built(w, fields, df, aggs, merges if plain and aggs else None))
         for f in fields:
             s = specs[f.label]
             if s is not None and s.sub is not None:

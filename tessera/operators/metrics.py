@@ -30,6 +30,8 @@ class MetricSpec:
     sub: Callable[[LevelContext], DataFrame] | None = None
     distinct: bool = False
     beside: Callable[[DataFrame], DataFrame] | None = None  # rows with hidden columns, where nothing is grouped
+    wider: Callable[[DataFrame], DataFrame] | None = None  # the same with hidden columns for every level
+    merge: Callable[[Column], Column] | None = None  # an aggregate over finer groups' ``aggs`` to these groups'
     column: str | None = None  # the output column, where it isn't the label
 
 
@@ -41,6 +43,10 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Aggregates that can be taken from those of finer groups.
+MERGES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum}
+
+
 def aggregate(name: str) -> Callable[[Column], Column]:
     if name not in AGGREGATES:
         raise QueryError(f"unknown aggregate {name!r}")
@@ -56,14 +62,14 @@ def need(f: Field, *names: str) -> None:
 def simple(name: str):
     def make(ctx: LevelContext, f: Field) -> MetricSpec:
         need(f, "a")
-        return one(f, AGGREGATES[name](ctx.arg(f)))
+        return one(f, AGGREGATES[name](ctx.arg(f)), MERGES.get(name))
 
     return make
 
 
-def one(f: Field, value: Column) -> MetricSpec:
+def one(f: Field, value: Column, merge: Callable[[Column], Column] | None = None) -> MetricSpec:
     hidden = f"__{f.label}"
-    return MetricSpec(aggs={hidden: value}, post=lambda frame: F.col(hidden))
+    return MetricSpec(aggs={hidden: value}, post=lambda frame: F.col(hidden), merge=merge)
 
 
 def avg(ctx: LevelContext, f: Field) -> MetricSpec:
@@ -154,7 +160,7 @@ def over_level(fn: Callable[[Column], Column]):
                 return F.try_divide(own, fn(own).over(Window.partitionBy(frame.key(f.args["by"]))))
             return F.try_divide(own, frame.total(fn, hidden))
 
-        return MetricSpec(aggs={hidden: F.sum(ctx.arg(f))}, post=post)
+        return MetricSpec(aggs={hidden: F.sum(ctx.arg(f))}, post=post, merge=F.sum)
 
     return make
 
@@ -162,6 +168,31 @@ def over_level(fn: Callable[[Column], Column]):
 RANKS = {"denseRank": F.dense_rank, "rank": F.rank, "rowNumber": F.row_number}
 
 
+#: Ranges of a rank over all rows.
+RANGES = 256
+
+
+def ranked(rows: DataFrame, value: Column, alg: str, hidden: str) -> DataFrame:
+    """``rows`` with the rank of ``value`` over all of them, largest first. Different values are counted,
+    dealt to ranges and ranked there; the sizes of the ranges before come on top, and the rows get
+    the rank of their value by a join. No task sees more than a range of different values. The
+    bounds are the values of the least hashes, so they are the same wherever they are computed."""
+    v, n, b, bounds = (f"{hidden}_{x}" for x in ("value", "rows", "range", "bounds"))
+    values = rows.groupBy(value.alias(v)).agg(F.count(F.lit(1)).alias(n))
+    few = values.orderBy(F.xxhash64(v), v).limit(RANGES - 1)
+    # All readers of the counted values read the same columns and rows of them, so there is one scan.
+    values = values.withColumn(bounds, few.agg(F.collect_list(F.struct(v, n))).scalar())
+    values = values.withColumn(b, F.when(F.col(v).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda x: x[v] > F.col(v))))).drop(bounds)
+    steps = F.sum((F.col(n) > 0).cast("long") if alg == "denseRank" else n)
+    own = Window.partitionBy(b).orderBy(F.desc_nulls_first(v)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(steps.over(own), F.lit(0)) + 1
+    before = F.coalesce(F.sum("size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = values.groupBy(F.col(b).alias("at")).agg(steps.alias("size")).select("at", before.alias("before"))
+    found = values.withColumn(hidden, inside).join(F.broadcast(ranges), F.col(b) == F.col("at"), "left")  # RANGES + 1 rows at most
+    found = found.select(F.col(v), (F.col(hidden) + F.col("before")).cast("int").alias(hidden))
+    return rows.join(found, value.eqNullSafe(F.col(v)), "left").drop(v)
+
+
 def ranking(ctx: LevelContext, f: Field) -> MetricSpec:
     need(f, "a")
     alg = f.args.get("alg", "denseRank")
@@ -173,6 +204,8 @@ def ranking(ctx: LevelContext, f: Field) -> MetricSpec:
         order += [F.asc_nulls_last(ctx.scope.df[f"`{c}`"]) for c, t in ctx.scope.df.dtypes if not t.startswith(("map", "variant"))]
     w = Window.partitionBy(ctx.part(f.args["by"])).orderBy(*order) if "by" in f.args else Window.orderBy(*order)
     hidden = f"__rank_{f.label}"
+    if "by" not in f.args and alg != "rowNumber":
+        return MetricSpec(wider=lambda rows: ranked(rows, ctx.arg(f), alg, hidden), key=F.col(hidden), plain=F.col(hidden))
     return MetricSpec(pre={hidden: RANKS[alg]().over(w)}, key=F.col(hidden), plain=F.col(hidden))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import shape
 from .operators.levels import Level, LevelBuilder
@@ -51,7 +53,7 @@ class Engine:
         self.after.append(fn)
         return self
 
-    def plan(self, text: str) -> tuple[Results, list[Field], set[str]]:
+    def plan(self, text: str, together: bool = False) -> tuple[Results, list[Field], set[str]]:
         scope: dict[str, DataFrame] = {}
         results: Results = {}
         mutations: list[Field] = []
@@ -80,7 +82,7 @@ class Engine:
                         r = analytics.request(f)
                         levels = [analytics.transformed(r, self.provider(r.params))]
                     else:
-                        levels = LevelBuilder(lookup, self.resolvers).fetch(f, op.name)
+                        levels = LevelBuilder(lookup, self.resolvers, together).fetch(f, op.name)
                     results.setdefault(name, []).extend(levels)
                     if f.name == "fetchPlain":
                         plain.add(name)
@@ -99,12 +101,13 @@ class Engine:
             raise QueryError("the document has several frames: use frames()")
         return levels[0]
 
-    def levels(self, text: str) -> Results:
-        results, mutations, _ = self.plan(text)
+    def levels(self, text: str, together: bool = False) -> Results:
+        """The planned levels by result name. ``together``: as they are best run in one job."""
+        results, mutations, _ = self.plan(text, together)
         return finished(results, mutations)
 
     def __call__(self, text: str) -> Any:
-        results, mutations, plain = self.plan(text)
+        results, mutations, plain = self.plan(text, together=True)
         for fn in self.before:
             answer = fn(results)
             if answer is not None and not answer:
@@ -112,9 +115,9 @@ class Engine:
         if self.execute is not None:
             results = replaced(results, self.execute(results))
         results = finished(results, mutations)
-        documents = {}
+        documents, found = {}, iter(collected([x.df for levels in results.values() for x in levels]))
         for name, levels in results.items():
-            rows = [[r.asDict() for r in x.df.collect()] for x in levels]
+            rows = [next(found) for _ in levels]
             documents[name] = rows if name in plain else shape.nested(levels, rows, resolvers=self.data_resolvers)
         out = documents[""] if list(documents) == [""] else documents
         for fn in self.after:
@@ -122,6 +125,21 @@ class Engine:
         return out
 
 
+def collected(frames: list[DataFrame]) -> list[list[dict]]:
+    """The rows of several frames, each in its order, by one job: what they share is computed once."""
+    if len(frames) < 2:
+        return [[r.asDict() for r in df.collect()] for df in frames]
+    kinds = [df.schema for df in frames]
+    parts = []
+    for i, df in enumerate(frames):
+        own = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        parts.append(df.select(F.lit(i).alias("at"), *((own if i == j else F.lit(None)).cast(kinds[j]).alias(f"f{j}") for j in range(len(frames)))))
+    out: list[list[dict]] = [[] for _ in frames]
+    for r in reduce(DataFrame.union, parts).collect():
+        out[r["at"]].append(r[f"f{r['at']}"].asDict())
+    return out
+
+
 def replaced(results: Results, found: Any) -> Results:
     """The levels of ``results`` over other rows, given in the order of the levels."""
     from dataclasses import replace

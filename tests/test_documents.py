@@ -204,3 +204,51 @@ def test_request(spark):
 
     r = request(parse('query t($source: GA) { fetch(start_date: "7daysAgo") { date(groupBy: month, sort_desc: hits) { hits date { hits } q: divide(a: rev, by: hits) } } }')[0].fields[0])
     assert r.params == {"start-date": "7daysAgo", "dimensions": "ga:date", "metrics": "ga:hits,ga:rev", "sort": "-ga:hits"}
+
+
+@pytest.fixture
+def sold(spark):
+    rows = [("a", "x", 1, 2.5, 1), ("a", "y", 2, None, 2), ("b", "x", None, 4.0, 3), (None, "x", 7, 1.0, 4), ("a", "x", 5, 2.5, 5), (None, None, 2, 4.0, 6)]
+    return spark.createDataFrame(rows, "shop string, kind string, n int, price double, id int")
+
+
+@pytest.mark.parametrize("selection", [
+    "shop { t: sum(a: n) lo: min(a: price) kind { c: count(a: n) hi: max(a: price) } } all: sum(a: n)",
+    "shop(sort_desc: t) { t: sum(a: n) kind(cutoff: n) { s: share(a: n) t: sum(a: n) } }",
+    "shop { t: sum(a: n) kind { m: percentile(a: price) } }",
+    "shop(sort_desc: t, limit: 1) { t: sum(a: n) kind { t: sum(a: n) } }",
+])
+def test_levels_together(sold, selection):
+    """Run as one job, levels have the rows that they have by themselves; without rows too."""
+    for table in (sold, sold.filter("id > 9")):
+        e = Engine(Catalog(sold.sparkSession, {"sold": table}))
+        text = f"query sold {{ fetch {{ {selection} }} }}"
+        alone, together = e.levels(text)[""], e.levels(text, together=True)[""]
+        assert [x.df.schema for x in alone] == [x.df.schema for x in together]
+        for x, y in zip(alone, together):
+            assert sorted(map(repr, x.df.collect())) == sorted(map(repr, y.df.collect()))
+
+
+def test_levels_together_scan_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS a", "id % 7 AS b", "id AS n").write.parquet(f"{tmp_path}/t.parquet")
+    e = Engine(Catalog.parquet(spark, str(tmp_path), ("t",)))
+    levels = e.levels("query t { fetch { a { n: sum(a: n) b { hi: max(a: n) c: count(a: n) } } n: count(a: n) } }", together=True)[""]
+    both = levels[0].df.selectExpr("n").union(levels[1].df.selectExpr("n")).union(levels[2].df.selectExpr("hi"))
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1
+    assert plan.count("ReusedExchange") == 2
+
+
+@pytest.mark.parametrize("alg", ["rank", "denseRank"])
+def test_rank_over_all_rows(spark, alg):
+    """Ranges don't show in the ranks: ties, nulls, NaN, both zeros and more values than ranges."""
+    values = [None, None, float("nan"), float("nan"), 0.0, -0.0, 1e9, -1e9] + [float(i * 7919 % 600) for i in range(1500)]
+    for own in (values, ["null" if v is None else str(v) for v in values], [None, None], []):
+        kind = "string" if own is not values else "double"
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(own)], f"id int, v {kind}")
+        found = Engine(Catalog(spark, {"t": table})).frame(f"query t {{ fetch {{ id {{ r: ranking(a: v, alg: {alg}) }} }} }}")
+        table.createOrReplaceTempView("ranked_rows")
+        fn = "rank" if alg == "rank" else "dense_rank"
+        wanted = spark.sql(f"SELECT id, {fn}() OVER (ORDER BY v DESC NULLS FIRST) AS r FROM ranked_rows")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
