@@ -113,6 +113,7 @@ class LevelContext:
     searched: dict[str, str]
     rows: DataFrame
     fields: tuple[Field, ...] = ()  # all metrics of the level
+    merged: dict[str, tuple[Column, Callable[[Column], Column]]] = field(default_factory=dict)  # aggregates that a ``sub`` takes along
 
     def arg(self, f: Field, name: str = "a") -> Column:
         return self.scope.col(f.args[name], f.args.get("from"))
@@ -357,8 +358,14 @@ class LevelBuilder:
         keys = list(seen.values())
         values = [k.value.alias(k.name) for k in keys]
         widths = {k.name: k.width for k in dims if k.width}
+        merges = {n: s.merge for s in specs.values() if s for n in s.aggs} | ({"__cutoff": F.sum} if w.cutoff else {})
+        whole = [f.label for f in fields if specs[f.label] and specs[f.label].by_all]
+        first_sub = None
         if merged is not None:
             df = merged
+        elif len(whole) == 1 and all(merges.values()):
+            first_sub = whole[0]
+            df = specs[first_sub].sub(replace(ctx, rows=rows, dims=keys, merged={n: (c, merges[n]) for n, c in aggs.items()}))
         elif aggs:
             df = rows.groupBy(*values).agg(*(c.alias(n) for n, c in aggs.items()))
         elif keys:
@@ -366,20 +373,22 @@ class LevelBuilder:
         else:
             df = None
         if merged is None:
-            merges = {n: s.merge for s in specs.values() if s for n in s.aggs} | ({"__cutoff": F.sum} if w.cutoff else {})
             plain = all(s is None or (s.merge and not s.pre and not s.wider) for s in specs.values())
             self.built.append(Built(w, fields, df, aggs, merges if plain and aggs else None))
         for f in fields:
             s = specs[f.label]
-            if s is not None and s.sub is not None:
-                own = s.sub(replace(ctx, rows=rows, dims=dims))
+            if s is not None and s.sub is not None and f.label != first_sub:
+                by = keys if s.by_all else dims
+                own = s.sub(replace(ctx, rows=rows, dims=by))
+                found = [c for c in own.columns if c not in {k.name for k in by}]
                 if df is None:
                     df = own
-                elif dims:
-                    other = own.select(*(F.col(f"`{k.name}`").alias(f"__sub_{k.name}") for k in dims), F.col(f"`__{f.label}`"))
-                    df = df.join(other, reduce(and_, (F.col(f"`{k.name}`").eqNullSafe(F.col(f"`__sub_{k.name}`")) for k in dims)), "left")
+                elif by:
+                    other = own.select(*(F.col(f"`{k.name}`").alias(f"__sub_{k.name}") for k in by), *(F.col(f"`{c}`") for c in found))
+                    df = df.join(other, reduce(and_, (F.col(f"`{k.name}`").eqNullSafe(F.col(f"`__sub_{k.name}`")) for k in by)), "left")
                 else:
-                    df = df.withColumn(f"__{f.label}", own.scalar())
+                    for c in found:
+                        df = df.withColumn(c, own.select(f"`{c}`").scalar())
         frame = Frame(df, keys)
         done: set[str] = set()
         if self.applies(dims, fields):  # before any total: those are over the groups that are left

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +30,7 @@ class MetricSpec:
     post: Callable[[Frame], Column] | None = None
     plain: Column | None = None
     sub: Callable[[LevelContext], DataFrame] | None = None
+    by_all: bool = False  # ``sub`` is by all grouping keys and has all groups, else it is by the dimensions
     distinct: bool = False
     beside: Callable[[DataFrame], DataFrame] | None = None  # rows with hidden columns, where nothing is grouped
     wider: Callable[[DataFrame], DataFrame] | None = None  # the same with hidden columns for every level
@@ -87,15 +90,76 @@ def avg(ctx: LevelContext, f: Field) -> MetricSpec:
     return MetricSpec(plain=F.col(hidden), beside=beside, post=lambda frame: over(frame.key(f.args["a"]), frame.key(f.args["by"])))
 
 
+#: Ranges of values, where they are counted instead of being brought together: STEP * STEP.
+STEP = 16
+
+
+def bounds_of(counted: DataFrame, keys: list[str], v: str, n: str) -> Column:
+    """The bounds of ranges of ``v``, in parts with their starts, over ``counted`` (a row for each
+    different ``v`` of a group, with its rows ``n``). They are the values of the least hashes, so they
+    are the same wherever they are computed. Every reader of ``counted`` should read ``n``: the
+    aggregation below then stays the same, and Spark runs it once."""
+    few = counted.orderBy(F.xxhash64(*keys, v), v).limit(STEP * STEP - 1).agg(F.collect_list(F.struct(*keys, v, n)).alias("all"))
+    few = few.select(F.sort_array(F.filter(F.transform("all", lambda x: x[v]), lambda x: x.isNotNull())).alias("all"))
+    few = few.select(F.transform(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda i: F.slice("all", i * STEP + 1, STEP)).alias("parts"))
+    return few.select(F.struct(F.transform("parts", lambda x: F.get(x, F.lit(0))).alias("starts"), "parts")).scalar()
+
+
+def in_ranges(counted: DataFrame, bounds: Column, v: str, name: str) -> DataFrame:
+    """``counted`` with the number of each value's range: how many bounds are less, looked up in two
+    steps. Nulls get -1."""
+    held, part = f"{name}_bounds", f"{name}_part"
+    less = lambda c: F.size(F.filter(c, lambda x: x < F.col(v)))
+    out = counted.withColumn(held, bounds)
+    out = out.withColumn(part, F.when(F.col(v).isNull(), -1).otherwise(less(F.col(f"{held}.starts"))))
+    number = (F.col(part) - 1) * STEP + less(F.get(F.col(f"{held}.parts"), F.col(part) - 1))
+    return out.withColumn(name, F.when(F.col(part) < 1, F.col(part)).otherwise(number)).drop(held, part)
+
+
 def percentile(ctx: LevelContext, f: Field) -> MetricSpec:
-    """Exact. All percentiles of a column share one pass and one buffer, as long as a group has
-    different values."""
+    """Exact, between the two nearest rows. The rows of each different value are counted, and the counts
+    of ranges of values tell which ranges hold the wanted places; only their values are put in order.
+    All percentiles of a column come from one pass."""
     need(f, "a")
     same = [x for x in ctx.fields if x.name == "percentile" and (x.args.get("a"), x.args.get("from")) == (f.args["a"], f.args.get("from"))]
-    factors = sorted({float(x.args.get("factor", 0.5)) for x in same})
-    hidden = f"__percentile_{f.args.get('from', '')}_{f.args['a']}"
-    place = factors.index(float(f.args.get("factor", 0.5)))
-    return MetricSpec(aggs={hidden: F.percentile(ctx.arg(f), F.array(*map(F.lit, factors)))}, post=lambda frame: F.col(f"`{hidden}`")[place])
+    for x in same:
+        if not 0 <= (at := x.args.get("factor", 0.5)) <= 1:
+            raise QueryError(f"percentile requires a factor from 0 to 1, not {at!r}")
+    if same[0] is not f:
+        return MetricSpec(post=lambda frame: F.col(f"`__{f.label}`"))
+
+    def sub(level: LevelContext) -> DataFrame:
+        names, value = level.key_names(), level.arg(f).cast("double")
+        keys = [f"__k{i}" for i in range(len(names))]
+        # The level's other aggregates come along. All readers read them by __n, so there is one aggregation.
+        others = {n: c.alias(n) for n, (c, _) in level.merged.items()}
+        counted = level.rows.groupBy(*(k.value.alias(c) for k, c in zip(level.dims, keys)), value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"), *others.values())
+        if others:
+            counted = counted.withColumn("__n", F.when(F.hash(*(f"`{n}`" for n in others)) >= F.lit(-(2**31)), F.col("__n")))  # always so
+        bounds = bounds_of(counted, keys, "__v", "__n")
+        counted = counted.withColumn("__n", F.when(F.col("__v").isNull(), 0).otherwise(F.col("__n")))
+        all_of, before = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+        ranges = in_ranges(counted, bounds, "__v", "__range").groupBy(*keys, "__range").agg(F.sum("__n").alias("__size"), *(merge(F.col(f"`{n}`")).alias(n) for n, (_, merge) in level.merged.items()))
+        for n, (_, merge) in level.merged.items():
+            ranges = ranges.withColumn(n, merge(F.col(f"`{n}`")).over(all_of))
+        ranges = ranges.withColumn("__before", F.coalesce(F.sum("__size").over(all_of.orderBy("__range").rowsBetween(*before)), F.lit(0))).withColumn("__all", F.sum("__size").over(all_of))
+        places = [(F.col("__all") - 1) * F.lit(float(x.args.get("factor", 0.5))) for x in same]
+        near = [(F.floor(p), F.ceil(p)) for p in places]
+        holds = reduce(or_, ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__size")) for pair in near for r in pair))
+        low, high = (F.get(F.flatten(bounds["parts"]), F.col("__range") - i) for i in (1, 0))
+        ranges = ranges.filter(holds | (F.col("__all") == 0)).select(*(F.col(k).alias(f"{k}_of") for k in keys), "__range", "__before", "__all", low.alias("__low"), high.alias("__high"), *(F.col(f"`{n}`").alias(f"{n}_all") for n in others))
+        inside = (F.col("__low").isNull() | (F.col("__v") > F.col("__low"))) & (F.col("__high").isNull() | (F.col("__v") <= F.col("__high")))
+        # A group has as many such ranges as places are wanted, at most.
+        own = counted.join(ranges if keys else F.broadcast(ranges), reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys), inside))
+        own = own.withColumn("__from", F.col("__before") + F.coalesce(F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(*before)), F.lit(0)))
+        at = lambda r: F.max(F.when((F.col("__from") <= r) & (r < F.col("__from") + F.col("__n")), F.col("__v")))
+        picked = own.groupBy(*keys).agg(F.max("__all").alias("__all"), *(at(r).alias(f"__{side}{i}") for i, pair in enumerate(near) for side, r in zip(("lo", "hi"), pair)), *(F.max(f"`{n}_all`").alias(n) for n in others))
+        between = [F.when(lo == hi, F.col(f"__lo{i}")).otherwise((hi - p) * F.col(f"__lo{i}") + (p - lo) * F.col(f"__hi{i}")) for i, (p, (lo, hi)) in enumerate(zip(places, near))]
+        kinds = {x.name: x for x in level.rows.agg(*others.values()).schema} if others else {}
+        rest = [(c if kinds[n].nullable else F.coalesce(c, F.lit(0))).alias(n) for n in others for c in (F.col(f"`{n}`").cast(kinds[n].dataType),)]
+        return picked.select(*(F.col(k).alias(name) for k, name in zip(keys, names)), *(c.alias(f"__{x.label}") for c, x in zip(between, same)), *rest)
+
+    return MetricSpec(sub=sub, by_all=True)
 
 
 def side(ctx: LevelContext, f: Field, arg: str) -> Column:
@@ -168,27 +232,20 @@ def over_level(fn: Callable[[Column], Column]):
 RANKS = {"denseRank": F.dense_rank, "rank": F.rank, "rowNumber": F.row_number}
 
 
-#: Ranges of a rank over all rows.
-RANGES = 256
-
-
 def ranked(rows: DataFrame, value: Column, alg: str, hidden: str) -> DataFrame:
     """``rows`` with the rank of ``value`` over all of them, largest first. Different values are counted,
     dealt to ranges and ranked there; the sizes of the ranges before come on top, and the rows get
-    the rank of their value by a join. No task sees more than a range of different values. The
-    bounds are the values of the least hashes, so they are the same wherever they are computed."""
-    v, n, b, bounds = (f"{hidden}_{x}" for x in ("value", "rows", "range", "bounds"))
+    the rank of their value by a join. No task sees more than a range of different values."""
+    v, n, b = (f"{hidden}_{x}" for x in ("value", "rows", "range"))
     values = rows.groupBy(value.alias(v)).agg(F.count(F.lit(1)).alias(n))
-    few = values.orderBy(F.xxhash64(v), v).limit(RANGES - 1)
-    # All readers of the counted values read the same columns and rows of them, so there is one scan.
-    values = values.withColumn(bounds, few.agg(F.collect_list(F.struct(v, n))).scalar())
-    values = values.withColumn(b, F.when(F.col(v).isNull(), -1).otherwise(F.size(F.filter(bounds, lambda x: x[v] > F.col(v))))).drop(bounds)
+    values = in_ranges(values, bounds_of(values, [], v, n), v, b)
+    values = values.withColumn(b, F.when(F.col(b) < 0, STEP * STEP).otherwise(F.col(b)))  # nulls come first
     steps = F.sum((F.col(n) > 0).cast("long") if alg == "denseRank" else n)
     own = Window.partitionBy(b).orderBy(F.desc_nulls_first(v)).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(steps.over(own), F.lit(0)) + 1
-    before = F.coalesce(F.sum("size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = values.groupBy(F.col(b).alias("at")).agg(steps.alias("size")).select("at", before.alias("before"))
-    found = values.withColumn(hidden, inside).join(F.broadcast(ranges), F.col(b) == F.col("at"), "left")  # RANGES + 1 rows at most
+    found = values.withColumn(hidden, inside).join(F.broadcast(ranges), F.col(b) == F.col("at"), "left")  # STEP * STEP + 1 rows at most
     found = found.select(F.col(v), (F.col(hidden) + F.col("before")).cast("int").alias(hidden))
     return rows.join(found, value.eqNullSafe(F.col(v)), "left").drop(v)
 
