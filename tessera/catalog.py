@@ -62,6 +62,9 @@ add("q_search_top", 'query part { fetch(search: { p_name: "bol" }) { p_brand { n
 add("q_sum_min_max_count_avg", "query lineitem { fetch { l_returnflag { s: sum(a: l_quantity) lo: min(a: l_extendedprice) hi: max(a: l_extendedprice) n: count(a: l_orderkey) m: avg(a: l_discount) } } }", "SELECT l_returnflag, round(sum(l_quantity), 4) AS s, round(min(l_extendedprice), 4) AS lo, round(max(l_extendedprice), 4) AS hi, count(l_orderkey) AS n, round(avg(l_discount), 4) AS m FROM lineitem GROUP BY 1")
 add("q_count_distinct", "query lineitem { fetch { l_linestatus { n: countDistinct(a: l_suppkey) } } }", "SELECT l_linestatus, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1")
 add("q_percentile", "query lineitem { fetch { l_returnflag { med: percentile(a: l_extendedprice) p90: percentile(a: l_extendedprice, factor: 0.9) } } }", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS med, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
+add("q_percentile_beside", "query lineitem { fetch { l_returnflag(type: Array) { st: unique(a: l_linestatus) med: percentile(a: l_quantity) s: share(a: l_quantity) n: count(a: l_orderkey) hi: max(a: l_shipdate) } } }", "SELECT l_returnflag, l_linestatus AS st, round(quantile_cont(l_quantity, 0.5), 4) AS med, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 4) AS s, count(l_orderkey) AS n, max(l_shipdate) AS hi FROM lineitem GROUP BY 1, 2")
+add("q_percentile_two", "query lineitem { fetch { l_returnflag { med: percentile(a: l_quantity) low: percentile(a: l_extendedprice, factor: 0.25) d: countDistinct(a: l_suppkey) } } }", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.5), 4) AS med, round(quantile_cont(l_extendedprice, 0.25), 4) AS low, count(DISTINCT l_suppkey) AS d FROM lineitem GROUP BY 1")
+add("q_having_percentile", "query lineitem { fetch(filters: { having: { med: { gt: 26 } } }) { l_suppkey { med: percentile(a: l_quantity) n: count(a: l_orderkey) } } }", "SELECT l_suppkey, round(quantile_cont(l_quantity, 0.5), 4) AS med, count(l_orderkey) AS n FROM lineitem GROUP BY 1 HAVING quantile_cont(l_quantity, 0.5) > 26")
 add("q_divide", 'query lineitem { fetch { l_returnflag { a: divide(a: "max|l_extendedprice", by: "sum|l_quantity") b: divide(a: l_extendedprice, by: l_quantity) } } }', "SELECT l_returnflag, round(max(l_extendedprice) / nullif(sum(l_quantity), 0), 4) AS a, round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 4) AS b FROM lineitem GROUP BY 1")
 add("q_avg_per_dim", "query lineitem { fetch { l_returnflag { v: avgPerDimension(a: l_quantity, per: l_orderkey) } } }", "SELECT l_returnflag, round(sum(l_quantity) / count(DISTINCT l_orderkey), 4) AS v FROM lineitem GROUP BY 1")
 add("q_weight_avg", "query lineitem { fetch { l_returnflag { v: weightAvg(a: l_discount, by: l_quantity) } } }", "SELECT l_returnflag, round(sum(x) / sum(w), 4) AS v FROM (SELECT l_returnflag, l_discount * sum(l_quantity) AS x, sum(l_quantity) AS w FROM lineitem GROUP BY l_returnflag, l_discount) GROUP BY 1")

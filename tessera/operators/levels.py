@@ -385,7 +385,7 @@ class LevelBuilder:
                     df = own
                 elif by:
                     other = own.select(*(F.col(f"`{k.name}`").alias(f"__sub_{k.name}") for k in by), *(F.col(f"`{c}`") for c in found))
-                    df = df.join(other, reduce(and_, (F.col(f"`{k.name}`").eqNullSafe(F.col(f"`__sub_{k.name}`")) for k in by)), "left")
+                    df = df.join(other, reduce(and_, (F.col(f"`{k.name}`").eqNullSafe(F.col(f"`__sub_{k.name}`")) for k in by)), "left").drop(*(f"__sub_{k.name}" for k in by))
                 else:
                     for c in found:
                         df = df.withColumn(c, own.select(f"`{c}`").scalar())

@@ -129,32 +129,33 @@ def percentile(ctx: LevelContext, f: Field) -> MetricSpec:
         return MetricSpec(post=lambda frame: F.col(f"`__{f.label}`"))
 
     def sub(level: LevelContext) -> DataFrame:
+        # Hidden aggregates begin with two underscores, the columns here with one.
         names, value = level.key_names(), level.arg(f).cast("double")
-        keys = [f"__k{i}" for i in range(len(names))]
-        # The level's other aggregates come along. All readers read them by __n, so there is one aggregation.
+        keys = [f"_k{i}" for i in range(len(names))]
+        # The level's other aggregates come along. All readers read them by _n, so there is one aggregation.
         others = {n: c.alias(n) for n, (c, _) in level.merged.items()}
-        counted = level.rows.groupBy(*(k.value.alias(c) for k, c in zip(level.dims, keys)), value.alias("__v")).agg(F.count(F.lit(1)).alias("__n"), *others.values())
+        counted = level.rows.groupBy(*(k.value.alias(c) for k, c in zip(level.dims, keys)), value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), *others.values())
         if others:
-            counted = counted.withColumn("__n", F.when(F.hash(*(f"`{n}`" for n in others)) >= F.lit(-(2**31)), F.col("__n")))  # always so
-        bounds = bounds_of(counted, keys, "__v", "__n")
-        counted = counted.withColumn("__n", F.when(F.col("__v").isNull(), 0).otherwise(F.col("__n")))
+            counted = counted.withColumn("_n", F.when(F.hash(*(f"`{n}`" for n in others)) >= F.lit(-(2**31)), F.col("_n")))  # always so
+        bounds = bounds_of(counted, keys, "_v", "_n")
+        counted = counted.withColumn("_n", F.when(F.col("_v").isNull(), 0).otherwise(F.col("_n")))
         all_of, before = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
-        ranges = in_ranges(counted, bounds, "__v", "__range").groupBy(*keys, "__range").agg(F.sum("__n").alias("__size"), *(merge(F.col(f"`{n}`")).alias(n) for n, (_, merge) in level.merged.items()))
+        ranges = in_ranges(counted, bounds, "_v", "_range").groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"), *(merge(F.col(f"`{n}`")).alias(n) for n, (_, merge) in level.merged.items()))
         for n, (_, merge) in level.merged.items():
             ranges = ranges.withColumn(n, merge(F.col(f"`{n}`")).over(all_of))
-        ranges = ranges.withColumn("__before", F.coalesce(F.sum("__size").over(all_of.orderBy("__range").rowsBetween(*before)), F.lit(0))).withColumn("__all", F.sum("__size").over(all_of))
-        places = [(F.col("__all") - 1) * F.lit(float(x.args.get("factor", 0.5))) for x in same]
+        ranges = ranges.withColumn("_before", F.coalesce(F.sum("_size").over(all_of.orderBy("_range").rowsBetween(*before)), F.lit(0))).withColumn("_all", F.sum("_size").over(all_of))
+        places = [(F.col("_all") - 1) * F.lit(float(x.args.get("factor", 0.5))) for x in same]
         near = [(F.floor(p), F.ceil(p)) for p in places]
-        holds = reduce(or_, ((r >= F.col("__before")) & (r < F.col("__before") + F.col("__size")) for pair in near for r in pair))
-        low, high = (F.get(F.flatten(bounds["parts"]), F.col("__range") - i) for i in (1, 0))
-        ranges = ranges.filter(holds | (F.col("__all") == 0)).select(*(F.col(k).alias(f"{k}_of") for k in keys), "__range", "__before", "__all", low.alias("__low"), high.alias("__high"), *(F.col(f"`{n}`").alias(f"{n}_all") for n in others))
-        inside = (F.col("__low").isNull() | (F.col("__v") > F.col("__low"))) & (F.col("__high").isNull() | (F.col("__v") <= F.col("__high")))
+        holds = reduce(or_, ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")) for pair in near for r in pair))
+        low, high = (F.get(F.flatten(bounds["parts"]), F.col("_range") - i) for i in (1, 0))
+        ranges = ranges.filter(holds | (F.col("_all") == 0)).select(*(F.col(k).alias(f"{k}_of") for k in keys), "_range", "_before", "_all", low.alias("_low"), high.alias("_high"), *(F.col(f"`{n}`").alias(f"_all{n}") for n in others))
+        inside = (F.col("_low").isNull() | (F.col("_v") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_v") <= F.col("_high")))
         # A group has as many such ranges as places are wanted, at most.
         own = counted.join(ranges if keys else F.broadcast(ranges), reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys), inside))
-        own = own.withColumn("__from", F.col("__before") + F.coalesce(F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(*before)), F.lit(0)))
-        at = lambda r: F.max(F.when((F.col("__from") <= r) & (r < F.col("__from") + F.col("__n")), F.col("__v")))
-        picked = own.groupBy(*keys).agg(F.max("__all").alias("__all"), *(at(r).alias(f"__{side}{i}") for i, pair in enumerate(near) for side, r in zip(("lo", "hi"), pair)), *(F.max(f"`{n}_all`").alias(n) for n in others))
-        between = [F.when(lo == hi, F.col(f"__lo{i}")).otherwise((hi - p) * F.col(f"__lo{i}") + (p - lo) * F.col(f"__hi{i}")) for i, (p, (lo, hi)) in enumerate(zip(places, near))]
+        own = own.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(*before)), F.lit(0)))
+        at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_from") + F.col("_n")), F.col("_v")))
+        picked = own.groupBy(*keys).agg(F.max("_all").alias("_all"), *(at(r).alias(f"_{side}{i}") for i, pair in enumerate(near) for side, r in zip(("lo", "hi"), pair)), *(F.max(f"`_all{n}`").alias(n) for n in others))
+        between = [F.when(lo == hi, F.col(f"_lo{i}")).otherwise((hi - p) * F.col(f"_lo{i}") + (p - lo) * F.col(f"_hi{i}")) for i, (p, (lo, hi)) in enumerate(zip(places, near))]
         kinds = {x.name: x for x in level.rows.agg(*others.values()).schema} if others else {}
         rest = [(c if kinds[n].nullable else F.coalesce(c, F.lit(0))).alias(n) for n in others for c in (F.col(f"`{n}`").cast(kinds[n].dataType),)]
         return picked.select(*(F.col(k).alias(name) for k, name in zip(keys, names)), *(c.alias(f"__{x.label}") for c, x in zip(between, same)), *rest)
