@@ -6,19 +6,24 @@ doc_id. The work is dealt out by content, and each part is settled by bucket-poi
 1. Every string of LENGTH bytes is represented by the least hash of the GRAM-byte strings in it (the
    leftmost of equals), so equal strings have the same representative at the same offset. Neighbouring
    strings share one: about one *anchor* stands for 18 strings.
-2. Documents lie in home groups of bounded size. Each group sends its different anchor hashes, and gets
-   back which of them other documents hold too.
+2. Documents lie in home groups of bounded size. Each group sends the digests of the pieces that its
+   documents fall into by content (of about 256 strings), and gets back which of them a document with
+   a smaller id holds. Those go as they are: the piece of the smallest id stands for them from here
+   on, so that copies of long passages don't travel. Of what is left each group sends its different
+   anchor hashes, and gets back which of them other documents hold too.
 3. Strings of such anchors travel as text to the part of their anchor. There all suffixes are put in
    buckets by their first FIRST bytes; a suffix's bucket pointer is the place where its bucket begins in
    the suffix array. Each round sorts the suffixes of buckets that aren't settled by their own pointer
    and the pointer at the suffix as many bytes further on as are sorted by now, and writes the new
    pointers back, which the next round reads: 8 bytes, then 16, 32 and LENGTH. Bytes are compared, not
-   hashes: in steps 1 and 2 equal hashes of different strings only mean that more text is sent. The
-   least doc_id of each bucket says which occurrences go.
+   hashes: equal anchor hashes of different strings only mean that more text is sent (digests of pieces,
+   of 128 bits, stand for their text). The least doc_id of each bucket says which occurrences go. A
+   stretch that several documents of a home group have is sent for the smallest id alone.
 4. The home groups take the spans out of their documents.
 
-An anchor that very many home groups hold (a passage in a third of all documents) isn't one part:
-each of its strings is dealt by its own hash, and equal strings are sent once by each home group.
+An anchor with very many different stretches (the edges of a passage in a third of all documents) isn't
+one part: each of its strings is dealt by its own hash, and equal strings are sent once by each home
+group. That takes about 14 times the bytes, so it is for those alone that one part can't hold.
 Groups' replies are bits, so nothing here grows with the number of copies in one task.
 
 Defined cases: doc_id is an integer column (else a ValueError); a null text is an empty one; texts
@@ -29,6 +34,7 @@ and kept by ``dedup_texts``, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import numpy as np
@@ -48,8 +54,11 @@ CHUNK = 1 << 19
 HOME_BYTES = 8 << 20
 PART_BYTES = 48 << 20
 FINE_BYTES = 3 << 20
-#: Home groups that hold an anchor before its strings are dealt one by one.
-HOT_HOMES = 512
+#: Home groups that hold an anchor, each as often as its stretches there differ, before the anchor's
+#: strings are dealt one by one: about 3 MB of text.
+HOT_HOMES = 32768
+#: A piece begins at one in so many places, by the 8 bytes there.
+PIECE = 256
 
 
 def words_at(flat: np.ndarray, n: int) -> np.ndarray:
@@ -57,9 +66,28 @@ def words_at(flat: np.ndarray, n: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", flat.tobytes(), strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
 
 
-def anchors(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The document of each piece, its first string's start in ``flat``, the next piece's, and where its
+    last string ends. Each string is in one piece; pieces of equal text hold equal strings."""
+    at = [bounds[:-1]]
+    for begin in range(0, max(len(flat) - LENGTH + 1, 0), CHUNK):
+        part = np.concatenate([flat[begin : begin + CHUNK + FIRST], np.zeros(FIRST, np.uint8)])
+        w = mixed(words_at(part, min(CHUNK, len(flat) - begin)))
+        at.append(begin + np.flatnonzero(w % np.uint64(PIECE) == 0))
+    start = np.unique(np.concatenate(at))
+    doc = np.searchsorted(bounds[1:], start, side="right")
+    whole = start + LENGTH <= np.append(bounds[1:], -1)[doc]  # there may be empty documents at the end
+    start, doc = start[whole], doc[whole]
+    end = bounds[1:][doc]
+    after = np.append(start[1:], len(flat))
+    after = np.minimum(after, end - LENGTH + 1)
+    return doc, start, after, after + LENGTH - 1
+
+
+def anchors(flat: np.ndarray, bounds: np.ndarray, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings with the same anchor: its hash, the document, the first string's start in
-    ``flat``, the number of strings. Documents are flat[bounds[i]:bounds[i + 1]]."""
+    ``flat``, the number of strings. Documents are flat[bounds[i]:bounds[i + 1]]; only strings that start
+    at places under ``open_`` count, if it is given."""
     out = []
     total = len(flat) - LENGTH + 1
     ends = bounds[1:]
@@ -83,6 +111,10 @@ def anchors(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
         whole = start + LENGTH <= ends[doc]
         new = np.ones(n, bool)
         new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        if open_ is not None:
+            here = open_[begin : begin + n]
+            whole &= here
+            new[1:] |= here[1:] != here[:-1]
         first = np.flatnonzero(new & whole)
         run = np.cumsum(new) - 1
         size = np.bincount(run[whole], minlength=int(run[-1]) + 1)[run[first]]
@@ -151,6 +183,15 @@ def parted(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
+    """Sorted spans of documents, those that meet as one."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(doc)) - 1
+    return joined(doc[a].astype(np.int32), start[a].astype(np.uint32), stop[b].astype(np.uint32))
+
+
 class Home:
     """The documents of one home group, in an order that each pass finds again."""
 
@@ -163,16 +204,28 @@ class Home:
         self.ids = np.asarray(ids.fill_null(0), np.int64)
         self.home = t.column("home")[0].as_py() if t.num_rows else 0
 
-    def runs(self):
-        h, doc, start, size = anchors(self.flat, self.bounds)
+    def settled(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of ``replies`` begin and where the next ones do."""
+        _, start, after, _ = pieces(self.flat, self.bounds)
+        found = [parted(b, np.uint32)[0] for p, b in zip(replies.column("part").to_pylist(), replies.column("blob").to_pylist()) if p < 0]
+        at = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        return start[at], after[at]
+
+    def runs(self, replies: pa.Table):
+        """Those of strings outside of the pieces that are settled."""
+        edge = np.zeros(len(self.flat) + 1, np.int8)
+        start, after = self.settled(replies)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, after, -1)
+        h, doc, start, size = anchors(self.flat, self.bounds, np.cumsum(edge[:-1], dtype=np.int8) == 0)
         keep = self.known[doc]
         return h[keep], doc[keep], start[keep], size[keep]
 
 
-def sent_hashes(home: Home, parts: int):
+def sent_hashes(home: Home, parts: int, replies: pa.Table):
     """The different hashes of a home group, whether several doc_ids of it hold each, their parts'
     bounds, and the place of each run's hash among them."""
-    h, doc, start, size = home.runs()
+    h, doc, start, size = home.runs(replies)
     unique, place = np.unique(h, return_inverse=True)
     least, most = np.full(len(unique), 2**63 - 1), np.full(len(unique), -(2**63))
     np.minimum.at(least, place, home.ids[doc])
@@ -182,7 +235,8 @@ def sent_hashes(home: Home, parts: int):
 
 
 def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFrame:
-    """home, spans: for each home group the documents' places, starts and stops of what goes."""
+    """home, part, blob: for each home group the pieces that go (part under 0), and the documents' places,
+    starts and stops of what else goes."""
     blob = "part long, home long, blob binary"
 
     def rows(kind: str, found: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -190,18 +244,78 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
         a, b, c = zip(*found) if found else ((), (), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=names)
 
-    def send(t: pa.Table) -> pa.Table:
+    def send_pieces(t: pa.Table) -> pa.Table:
+        home = Home(t)
+        doc, start, _, stop = pieces(home.flat, home.bounds)
+        raw = home.flat.tobytes()
+        texts: dict[bytes, int] = {}
+        digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())]
+        number = np.fromiter((texts.setdefault(d, len(texts)) for d in digest), np.int64, len(digest))
+        digest = np.frombuffer(b"".join(digest), "<u8").reshape(-1, 2)
+        ids, known = home.ids[doc], home.known[doc]
+        least = np.full(len(texts), 2**63 - 1)
+        np.minimum.at(least, number[known], ids[known])
+        nth = np.arange(len(doc), dtype=np.uint32)
+        here = known & (ids > least[number])  # those are settled here: a part hears of the least id alone
+        out = [(-1 - home.home, home.home, joined(nth[here]))] if here.any() else []
+        sent = np.flatnonzero(known & ~here)
+        part = part_of(digest[sent, 0], parts)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        for p, (a, b) in enumerate(zip(edges, edges[1:])):
+            if b > a:
+                at = sent[order[a:b]]
+                out.append((p, home.home, joined(digest[at], nth[at], ids[at])))
+        return rows("part", out)
+
+    def answer_pieces(t: pa.Table) -> pa.Table:
+        part, homes, blobs = t.column("part")[0].as_py(), t.column("home").to_pylist(), t.column("blob").to_pylist()
+        if part < 0:
+            return rows("home", [(home, part, b) for home, b in zip(homes, blobs)])
+        found = [parted(b, "<u8", np.uint32, np.int64) for b in blobs]
+        digest = np.concatenate([f[0] for f in found]).reshape(-1, 2)
+        ids = np.concatenate([f[2] for f in found])
+        order = np.lexsort((digest[:, 1], digest[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(axis=1)
+        least = np.empty(len(order), np.int64)
+        least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        goes, out, done = least < ids, [], 0
+        for home, f in zip(homes, found):
+            mine = f[1][goes[done : done + len(f[1])]]
+            done += len(f[1])
+            if len(mine):
+                out.append((home, -1 - part, joined(mine)))
+        return rows("home", out)
+
+    def send(t: pa.Table, replies: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return rows("part", [])
         home = Home(t)
-        unique, several, cut, _, _ = sent_hashes(home, parts)
+        unique, several, cut, place, (_, start, size) = sent_hashes(home, parts, replies)
         low = unique.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        return rows("part", [(p, home.home, joined(low[a:b], np.packbits(several[a:b]))) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
+        count = np.bincount(place, minlength=len(unique))
+        raw, many = home.flat.tobytes(), np.flatnonzero(count[place] > 1)
+        order = many[np.argsort(place[many], kind="stable")]
+        different = {(p, raw[s : s + n]) for p, s, n in zip(place[order].tolist(), start[order].tolist(), (size[order] + LENGTH - 1).tolist())}
+        again = np.bincount(np.fromiter((p for p, _ in different), np.int64, len(different)), minlength=len(unique)) - 1
+        crowd = np.flatnonzero(again > 0)
+        ends = np.searchsorted(crowd, cut)
+        found = []
+        for p, (a, b) in enumerate(zip(cut, cut[1:])):
+            if b > a:
+                more = crowd[ends[p] : ends[p + 1]]
+                found.append((p, home.home, joined(low[a:b], np.packbits(several[a:b]), (more - a).astype(np.int32), again[more].astype(np.int32))))
+        return rows("part", found)
 
     def answer(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         home = t.column("home").to_pylist()
-        values, several, size = [], [], []
+        values, several, size, differ = [], [], [], []
         for b in t.column("blob").to_pylist():
-            low, bits = parted(b, np.uint8, np.uint8)
+            low, bits, more, again = parted(b, np.uint8, np.uint8, np.int32, np.int32)
+            differ.append(np.ones(len(low) // 5))
+            differ[-1][more] += again
             wide = np.zeros((len(low) // 5, 8), np.uint8)
             wide[:, :5] = low.reshape(-1, 5)
             values.append(wide.reshape(-1).view("<u8"))
@@ -210,17 +324,18 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
         _, place, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
         twice = count[place] > 1
         twice |= np.bincount(place, weights=np.concatenate(several))[place] > 0
-        crowded = count[place] >= hot
+        crowded = np.bincount(place, weights=np.concatenate(differ))[place] >= hot
         ends = np.cumsum(size)
         return rows("home", [(x, part, joined(np.packbits(twice[e - n : e]), np.packbits(crowded[e - n : e]))) for x, n, e in zip(home, size, ends) if twice[e - n : e].any()])
 
     def send_text(t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows or not replies.num_rows:
+        asked = [(p, b) for p, b in zip(replies.column("part").to_pylist(), replies.column("blob").to_pylist()) if p >= 0]
+        if not t.num_rows or not asked:
             return rows("part", [])
         home = Home(t)
-        unique, _, cut, place, (doc, start, size) = sent_hashes(home, parts)
+        unique, _, cut, place, (doc, start, size) = sent_hashes(home, parts, replies)
         twice, crowded = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
-        for p, b in zip(replies.column("part").to_pylist(), replies.column("blob").to_pylist()):
+        for p, b in asked:
             x, y = parted(b, np.uint8, np.uint8)
             n = cut[p + 1] - cut[p]
             twice[cut[p] : cut[p + 1]] = np.unpackbits(x, count=n)
@@ -235,7 +350,7 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             part = np.concatenate([part[~many], part_of(string_hash(home.flat, own), fine)])
             doc, start = np.concatenate([doc[~many], doc[row]]), np.concatenate([start[~many], own])
             size = np.concatenate([size[~many], np.ones(len(row), np.int64)])
-        raw, out = home.flat.tobytes(), []
+        raw, out, here = home.flat.tobytes(), [], []
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(fine + 1))
         for p, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -244,12 +359,24 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             at = order[a:b]
             texts: dict[bytes, int] = {}
             number = np.fromiter((texts.setdefault(raw[s : s + n], len(texts)) for s, n in zip(start[at].tolist(), (size[at] + LENGTH - 1).tolist())), np.int32, b - a)
+            own, least = home.ids[doc[at]], np.full(len(texts), 2**63 - 1)
+            np.minimum.at(least, number, own)
+            first = own == least[number]
+            if not first.all():  # the others go: this group has a smaller id with that stretch
+                here.append(at[~first])
+                at, number = at[first], number[first]
             docs_here, nth_doc = np.unique(doc[at], return_inverse=True)
             out.append((p, home.home, joined(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int32, len(texts)), number, nth_doc.astype(np.int32), (start[at] - home.bounds[doc[at]]).astype(np.uint32), docs_here.astype(np.int32), home.ids[docs_here])))
+        if here:
+            at = np.concatenate(here)
+            at = at[np.argsort(start[at], kind="stable")]
+            out.append((-1 - home.home, home.home, spans(doc[at], start[at] - home.bounds[doc[at]], start[at] - home.bounds[doc[at]] + size[at] + LENGTH - 1)))
         return rows("part", out)
 
     def settle(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
+        if part < 0:  # what a home group has settled by itself
+            return rows("home", [(home, 0, b) for home, b in zip(t.column("home").to_pylist(), t.column("blob").to_pylist())])
         found = [parted(b, np.uint8, np.int32, np.int32, np.int32, np.uint32, np.int32, np.int64) for b in t.column("blob").to_pylist()]
         texts: dict[bytes, int] = {}  # home groups may send the same stretch
         place = []
@@ -286,13 +413,18 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             new[1:] = (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)
             a = np.flatnonzero(new)
             b = np.append(a[1:], len(row)) - 1
-            out.append((home, part, joined(f[5][f[3]][row[a]], f[4][row[a]] + nth[a], f[4][row[b]] + nth[b] + LENGTH)))
+            doc, start, stop = f[5][f[3]][row[a]], f[4][row[a]] + nth[a], f[4][row[b]] + nth[b] + LENGTH
+            order = np.lexsort((start, doc))
+            out.append((home, part, spans(doc[order], start[order], stop[order])))
         give_back()
         return rows("home", out)
 
-    answers = docs.groupBy("home").applyInArrow(send, blob).groupBy("part").applyInArrow(answer, "home long, part long, blob binary")
-    texts = docs.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(send_text, blob)
-    return texts.groupBy("part").applyInArrow(settle, "home long, part long, blob binary")
+    back = "home long, part long, blob binary"
+    settled = docs.groupBy("home").applyInArrow(send_pieces, blob).groupBy("part").applyInArrow(answer_pieces, back)
+    hashes = docs.groupBy("home").cogroup(settled.groupBy("home")).applyInArrow(send, blob)
+    answers = hashes.groupBy("part").applyInArrow(answer, back)
+    texts = docs.groupBy("home").cogroup(settled.union(answers).groupBy("home")).applyInArrow(send_text, blob)
+    return settled.union(texts.groupBy("part").applyInArrow(settle, back))
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -311,16 +443,20 @@ def carried(df: DataFrame, text: str, doc_id: str, carry: list) -> DataFrame:
     docs = small_batches(df).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(c.alias(f"carry_{i}") for i, c in enumerate(carry)))
     docs = docs.withColumn("home", F.pmod(F.xxhash64("id", "text"), F.lit(homes)))
     fine = max(n_partitions(spark), -(-size // FINE_BYTES))
-    spans = spans_of_repeats(docs, parts, fine, hot=HOT_HOMES)
+    gone_spans = spans_of_repeats(docs, parts, fine, hot=HOT_HOMES)
 
     def remove(t: pa.Table, found: pa.Table) -> pa.Table:
         home = Home(t)
         n = np.diff(home.bounds)
         edge = np.zeros(len(home.flat) + 1, np.int32)
-        for b in found.column("blob").to_pylist():
-            doc, start, stop = parted(b, np.int32, np.int64, np.int64)
-            np.add.at(edge, home.bounds[doc] + start, 1)
-            np.add.at(edge, home.bounds[doc] + stop, -1)
+        start, after = home.settled(found)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, after + LENGTH - 1, -1)
+        for p, b in zip(found.column("part").to_pylist(), found.column("blob").to_pylist()):
+            if p >= 0:
+                doc, start, stop = parted(b, np.int32, np.uint32, np.uint32)
+                np.add.at(edge, home.bounds[doc] + start, 1)
+                np.add.at(edge, home.bounds[doc] + stop, -1)
         gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         del edge
         begins = gone.copy()
@@ -339,7 +475,7 @@ def carried(df: DataFrame, text: str, doc_id: str, carry: list) -> DataFrame:
     out = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     for f in docs.schema.fields[2:-1]:
         out.add(f)
-    return docs.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(remove, out)
+    return docs.groupBy("home").cogroup(gone_spans.groupBy("home")).applyInArrow(remove, out)
 
 
 def dedup_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

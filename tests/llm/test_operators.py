@@ -236,6 +236,35 @@ def test_suffix_dedup(spark, odd, none, docs, hot, monkeypatch):
         suffix_dedup.dedup(odd.withColumn("doc_id", F.lit("a")))
 
 
+def shuffled_bytes(df):
+    """Of all exchanges of a frame that has been collected, before they are compressed."""
+    todo, total, seen = [df._jdf.queryExecution().executedPlan()], 0, set()
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif node.getClass().getSimpleName() != "ReusedExchangeExec":
+            if node.getClass().getSimpleName() == "ShuffleExchangeExec" and node.id() not in seen:
+                seen.add(node.id())
+                total += node.metrics().apply("dataSize").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_suffix_dedup_sends_copies_and_common_passages_once(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOME_BYTES", 600)
+    r = random.Random(0)
+    common, *bodies = (" ".join(word(r.randint(0, 10**6)) for _ in range(n)) for n in [45] + [140] * 700)
+    made = [(i, b[:500] + common + b[500:]) for i, b in enumerate(bodies)]
+    made += [(1000 + i, t) for i, t in made[:40]] + [(5, made[9][1]), (None, made[3][1])]
+    found = suffix_dedup.dedup(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in found.collect()]
+    assert sorted(rows, key=repr) == sorted(brute_repeats([(i, t.encode()) for i, t in made]), key=repr)
+    assert 1 < shuffled_bytes(found) / sum(len(t) for _, t in made) < 6
+
+
 def test_refined_pointers_are_the_order_of_suffixes():
     r = np.random.default_rng(0)
     for _ in range(60):
