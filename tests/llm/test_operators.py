@@ -253,6 +253,19 @@ def shuffled_bytes(df):
     return total
 
 
+def test_pipeline_s_suffix_dedup_sends_common_passages_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(suffix_dedup, "HOME_BYTES", 400)
+    r = random.Random(1)
+    common, *bodies = (" ".join(word(r.randint(0, 10**6)) for _ in range(n)) for n in [45] + [60] * 720)
+    made = [(i, b + common) for i, b in enumerate(bodies)]
+    found = corpus_pipeline.drop_repeated_strings(spark, spark.createDataFrame(made, "doc_id long, text string"), "")
+    left = {x.doc_id: x.text.encode() for x in found.collect()}
+    assert left == {i: kept for i, *_, kept in brute_repeats([(i, t.encode()) for i, t in made])}
+    assert 1 < shuffled_bytes(found) / sum(len(t) for _, t in made) < 9
+
+
 def test_suffix_dedup_sends_copies_and_common_passages_once(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOME_BYTES", 600)
     r = random.Random(0)
