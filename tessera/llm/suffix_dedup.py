@@ -49,10 +49,13 @@ LENGTH = 50
 GRAM = 16
 #: The bytes that the first buckets go by: a number of 64 bits.
 FIRST = 8
-CHUNK = 1 << 19
-#: Bytes of text for each home group, each part of the hashes, and each part of the strings.
+#: Places that are looked at together: their numbers stay in a core's cache.
+CHUNK = 1 << 16
+#: Bytes of text for each home group, each part of the hashes, each part of the strings, and each slice
+#: of such a part, which are settled one after the other.
 HOME_BYTES = 8 << 20
 PART_BYTES = 48 << 20
+TEXT_BYTES = 24 << 20
 FINE_BYTES = 3 << 20
 #: Home groups that hold an anchor, each as often as its stretches there differ, before the anchor's
 #: strings are dealt one by one: about 3 MB of text.
@@ -91,34 +94,37 @@ def anchors(flat: np.ndarray, bounds: np.ndarray, open_: np.ndarray | None = Non
     out = []
     total = len(flat) - LENGTH + 1
     ends = bounds[1:]
+    reach = LENGTH - GRAM + 1
+    places = np.arange(CHUNK + reach, dtype=np.uint64)
     for begin in range(0, max(total, 0), CHUNK):
         n = min(CHUNK, total - begin)
         part = np.concatenate([flat[begin : begin + n + LENGTH - 1], np.zeros(8, np.uint8)])
-        grams = n + LENGTH - GRAM
+        grams = n + reach - 1
         w = words_at(part, grams + 8)
         h = mixed(w[:grams] * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(w[8 : grams + 8]))
-        low = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(grams, dtype=np.uint64)  # CHUNK is under 2**24
-        span, least = 1, low
-        reach = LENGTH - GRAM + 1
+        span, least = 1, (h & np.uint64(0xFFFFFFFFFF000000)) | places[:grams]  # CHUNK is under 2**24
         while 2 * span <= reach:
             least = np.minimum(least[: len(least) - span], least[span:])
             span *= 2
         if span < reach:
             least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
-        at = (least[:n] & np.uint64(0xFFFFFF)).astype(np.int64)
-        start = begin + np.arange(n)
-        doc = np.searchsorted(ends, start, side="right")
-        whole = start + LENGTH <= ends[doc]
+        least = least[:n]
         new = np.ones(n, bool)
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = least[1:] != least[:-1]
+        edges = ends[np.searchsorted(ends, begin) : np.searchsorted(ends, begin + n)] - begin
+        new[edges] = True
         if open_ is not None:
             here = open_[begin : begin + n]
-            whole &= here
             new[1:] |= here[1:] != here[:-1]
-        first = np.flatnonzero(new & whole)
-        run = np.cumsum(new) - 1
-        size = np.bincount(run[whole], minlength=int(run[-1]) + 1)[run[first]]
-        out.append((mixed(h[at[first]] + np.uint64(GRAM)), doc[first], start[first], size))  # least hashes are small: spread anew
+        first = np.flatnonzero(new)
+        doc = np.searchsorted(ends, begin + first, side="right")
+        size = np.minimum(np.append(first[1:], n), ends[doc] - LENGTH + 1 - begin) - first
+        whole = size > 0
+        if open_ is not None:
+            whole &= here[first]
+        first = first[whole]
+        at = (least[first] & np.uint64(0xFFFFFF)).astype(np.int64)
+        out.append((mixed(h[at] + np.uint64(GRAM)), doc[whole], begin + first, size[whole]))  # least hashes are small: spread anew
     if not out:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -192,6 +198,33 @@ def spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
     return joined(doc[a].astype(np.int32), start[a].astype(np.uint32), stop[b].astype(np.uint32))
 
 
+def repeats_of(texts: dict[bytes, int], number: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What goes of runs, each the stretch ``number`` of ``texts`` in the document ``ids``: the run, and
+    where in it bytes that a smaller id has too begin and end."""
+    text, size = np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+    strings = size - LENGTH + 1
+    first = np.cumsum(strings) - strings  # of each stretch's strings
+    starts = np.repeat(np.cumsum(size) - size - first, strings) + np.arange(int(strings.sum()))
+    bucket = refined_pointers(text)[starts]
+    own = np.full(len(size), 2**63 - 1)
+    np.minimum.at(own, number, ids)
+    least = np.full(len(text), 2**63 - 1)
+    np.minimum.at(least, bucket, np.repeat(own, strings))
+    least = least[bucket]
+    some = np.flatnonzero(np.minimum.reduceat(least, first)[number] < ids)  # other runs keep all
+    number = number[some]
+    count = strings[number]
+    row = np.repeat(np.arange(len(some)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    goes = least[first[number][row] + nth] < ids[some][row]
+    row, nth = row[goes], nth[goes]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(row))[: len(a)] - 1
+    return some[row[a]], nth[a], nth[b] + LENGTH
+
+
 class Home:
     """The documents of one home group, in an order that each pass finds again."""
 
@@ -234,7 +267,7 @@ def sent_hashes(home: Home, parts: int, replies: pa.Table):
     return unique, least != most, cut, place, (doc, start, size)
 
 
-def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFrame:
+def spans_of_repeats(docs: DataFrame, parts: int, text_parts: int, slices: int, hot: int) -> DataFrame:
     """home, part, blob: for each home group the pieces that go (part under 0), and the documents' places,
     starts and stops of what else goes."""
     blob = "part long, home long, blob binary"
@@ -340,7 +373,8 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             n = cut[p + 1] - cut[p]
             twice[cut[p] : cut[p + 1]] = np.unpackbits(x, count=n)
             crowded[cut[p] : cut[p + 1]] = np.unpackbits(y, count=n)
-        use = twice[place]
+        use, fine = twice[place], text_parts * slices
+        alike = np.bincount(place, minlength=len(unique))[place][use] > 1
         part, doc, start, size, many = part_of(unique, fine)[place][use], doc[use], start[use], size[use], crowded[place][use]
         if many.any():  # each string by itself
             n = size[many]
@@ -350,74 +384,63 @@ def spans_of_repeats(docs: DataFrame, parts: int, fine: int, hot: int) -> DataFr
             part = np.concatenate([part[~many], part_of(string_hash(home.flat, own), fine)])
             doc, start = np.concatenate([doc[~many], doc[row]]), np.concatenate([start[~many], own])
             size = np.concatenate([size[~many], np.ones(len(row), np.int64)])
-        raw, out, here = home.flat.tobytes(), [], []
+            alike = np.concatenate([alike[~many], np.ones(len(row), bool)])
         order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(fine + 1))
+        part, doc, start, stop, alike = part[order], doc[order], start[order], (start + size + LENGTH - 1)[order], np.flatnonzero(alike[order])
+        raw, texts = home.flat.tobytes(), {}
+        number = np.arange(len(part))  # the first run with the same text
+        number[alike] = np.fromiter((texts.setdefault(raw[a:b], i) for i, a, b in zip(alike.tolist(), start[alike].tolist(), stop[alike].tolist())), np.int64, len(alike))
+        del texts
+        own, least = home.ids[doc], np.full(len(part), 2**63 - 1)
+        np.minimum.at(least, number, own)
+        first, out = own == least[number], []
+        sent, here = np.flatnonzero(first), np.flatnonzero(~first)
+        edges = np.searchsorted(part[sent], np.arange(text_parts + 1) * slices)
         for p, (a, b) in enumerate(zip(edges, edges[1:])):
             if b == a:
                 continue
-            at = order[a:b]
-            texts: dict[bytes, int] = {}
-            number = np.fromiter((texts.setdefault(raw[s : s + n], len(texts)) for s, n in zip(start[at].tolist(), (size[at] + LENGTH - 1).tolist())), np.int32, b - a)
-            own, least = home.ids[doc[at]], np.full(len(texts), 2**63 - 1)
-            np.minimum.at(least, number, own)
-            first = own == least[number]
-            if not first.all():  # the others go: this group has a smaller id with that stretch
-                here.append(at[~first])
-                at, number = at[first], number[first]
+            at = sent[a:b]
+            texts, nth_text = np.unique(number[at], return_inverse=True)
             docs_here, nth_doc = np.unique(doc[at], return_inverse=True)
-            out.append((p, home.home, joined(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int32, len(texts)), number, nth_doc.astype(np.int32), (start[at] - home.bounds[doc[at]]).astype(np.uint32), docs_here.astype(np.int32), home.ids[docs_here])))
-        if here:
-            at = np.concatenate(here)
-            at = at[np.argsort(start[at], kind="stable")]
-            out.append((-1 - home.home, home.home, spans(doc[at], start[at] - home.bounds[doc[at]], start[at] - home.bounds[doc[at]] + size[at] + LENGTH - 1)))
+            text = b"".join([raw[x:y] for x, y in zip(start[texts].tolist(), stop[texts].tolist())])
+            out.append((p, home.home, joined(np.frombuffer(text, np.uint8), (stop - start)[texts].astype(np.int32), (part[texts] - p * slices).astype(np.int32), nth_text.astype(np.int32), nth_doc.astype(np.int32), (start[at] - home.bounds[doc[at]]).astype(np.uint32), docs_here.astype(np.int32), home.ids[docs_here])))
+        if len(here):  # those go: this group has a smaller id with that stretch
+            at = here[np.argsort(start[here], kind="stable")]
+            out.append((-1 - home.home, home.home, spans(doc[at], start[at] - home.bounds[doc[at]], stop[at] - home.bounds[doc[at]])))
         return rows("part", out)
 
     def settle(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         if part < 0:  # what a home group has settled by itself
             return rows("home", [(home, 0, b) for home, b in zip(t.column("home").to_pylist(), t.column("blob").to_pylist())])
-        found = [parted(b, np.uint8, np.int32, np.int32, np.int32, np.uint32, np.int32, np.int64) for b in t.column("blob").to_pylist()]
-        texts: dict[bytes, int] = {}  # home groups may send the same stretch
-        place = []
-        for f in found:
-            raw, ends = f[0].tobytes(), np.cumsum(f[1], dtype=np.int64)
-            place.append(np.fromiter((texts.setdefault(raw[a:b], len(texts)) for a, b in zip((ends - f[1]).tolist(), ends.tolist())), np.int64, len(ends)))
-        text, size = np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
-        del texts
-        begin = np.cumsum(size) - size
-        strings = size - LENGTH + 1
-        first = np.cumsum(strings) - strings  # of each stretch's strings
-        starts = np.repeat(begin - first, strings) + np.arange(int(strings.sum()))
-        bucket = refined_pointers(text)[starts]
-        number = np.concatenate([p[f[2]] for f, p in zip(found, place)])
-        ids = np.concatenate([f[6][f[3]] for f in found])
-        own = np.full(len(size), 2**63 - 1)
-        np.minimum.at(own, number, ids)
-        least = np.full(len(text), 2**63 - 1)
-        np.minimum.at(least, bucket, np.repeat(own, strings))
-        least = least[bucket]
-        out, done = [], 0
-        for home, f in zip(t.column("home").to_pylist(), found):
-            n = len(f[2])
-            mine = number[done : done + n]
-            done += n
-            count = strings[mine]
-            row = np.repeat(np.arange(n), count)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            goes = least[first[mine][row] + nth] < f[6][f[3]][row]
-            row, nth = row[goes], nth[goes]
-            if not len(row):
+        homes, blobs = t.column("home").to_pylist(), t.column("blob").to_pylist()
+        found = [parted(b, np.uint8, np.int32, np.int32, np.int32, np.int32, np.uint32, np.int32, np.int64) for b in blobs]
+        raw, size, piece = b"".join([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+        ends, before = np.cumsum(size, dtype=np.int64), np.cumsum([0, *(len(f[1]) for f in found)])
+        number = np.concatenate([f[3] + n for f, n in zip(found, before)])
+        group = np.repeat(np.arange(len(found)), [len(f[3]) for f in found])
+        doc, start, ids = np.concatenate([f[6][f[4]] for f in found]), np.concatenate([f[5] for f in found]), np.concatenate([f[7][f[4]] for f in found])
+        del found, blobs
+        own, runs = np.argsort(piece, kind="stable"), np.argsort(piece[number], kind="stable")
+        own_at, runs_at = (np.searchsorted(x, np.arange(slices + 1)) for x in (piece[own], piece[number[runs]]))
+        place, gone = np.empty(len(size), np.int64), []
+        for k in range(slices):
+            mine, at = own[own_at[k] : own_at[k + 1]], runs[runs_at[k] : runs_at[k + 1]]
+            if not len(at):
                 continue
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (nth[1:] != nth[:-1] + 1)
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(row)) - 1
-            doc, start, stop = f[5][f[3]][row[a]], f[4][row[a]] + nth[a], f[4][row[b]] + nth[b] + LENGTH
-            order = np.lexsort((start, doc))
-            out.append((home, part, spans(doc[order], start[order], stop[order])))
+            texts: dict[bytes, int] = {}  # home groups may send the same stretch
+            place[mine] = np.fromiter((texts.setdefault(raw[a:b], len(texts)) for a, b in zip((ends[mine] - size[mine]).tolist(), ends[mine].tolist())), np.int64, len(mine))
+            row, begin, stop = repeats_of(texts, place[number[at]], ids[at])
+            row = at[row]
+            gone.append((group[row], doc[row], start[row] + begin, start[row] + stop))
         give_back()
-        return rows("home", out)
+        if not any(len(g[0]) for g in gone):
+            return rows("home", [])
+        group, doc, start, stop = (np.concatenate(x) for x in zip(*gone))
+        order = np.lexsort((start, doc, group))
+        group, doc, start, stop = group[order], doc[order], start[order], stop[order]
+        edges = np.searchsorted(group, np.arange(len(homes) + 1))
+        return rows("home", [(home, part, spans(doc[a:b], start[a:b], stop[a:b])) for home, a, b in zip(homes, edges, edges[1:]) if b > a])
 
     back = "home long, part long, blob binary"
     settled = docs.groupBy("home").applyInArrow(send_pieces, blob).groupBy("part").applyInArrow(answer_pieces, back)
@@ -442,8 +465,9 @@ def carried(df: DataFrame, text: str, doc_id: str, carry: list) -> DataFrame:
     parts = max(n_partitions(spark), -(-size // PART_BYTES))
     docs = small_batches(df).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(c.alias(f"carry_{i}") for i, c in enumerate(carry)))
     docs = docs.withColumn("home", F.pmod(F.xxhash64("id", "text"), F.lit(homes)))
-    fine = max(n_partitions(spark), -(-size // FINE_BYTES))
-    gone_spans = spans_of_repeats(docs, parts, fine, hot=HOT_HOMES)
+    text_parts = max(n_partitions(spark), -(-size // TEXT_BYTES))
+    slices = max(1, -(-size // (text_parts * FINE_BYTES)))
+    gone_spans = spans_of_repeats(docs, parts, text_parts, slices, hot=HOT_HOMES)
 
     def remove(t: pa.Table, found: pa.Table) -> pa.Table:
         home = Home(t)

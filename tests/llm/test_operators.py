@@ -278,6 +278,40 @@ def test_suffix_dedup_sends_copies_and_common_passages_once(spark, monkeypatch):
     assert 1 < shuffled_bytes(found) / sum(len(t) for _, t in made) < 6
 
 
+def test_suffix_dedup_s_replies_are_one_for_each_group_and_part(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOME_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "FINE_BYTES", 100)
+    whole, seen = suffix_dedup.spans_of_repeats, []
+    monkeypatch.setattr(suffix_dedup, "spans_of_repeats", lambda *a, **k: seen.append(whole(*a, **k)) or seen[-1])
+    r = random.Random(2)
+    pool = [" ".join(word(r.randint(0, 10**6)) for _ in range(14)) for _ in range(90)]
+    made = [(i, "".join(r.choice(pool)[r.randint(0, 9) :] + word(r.randint(0, 10**6)) for _ in range(16))) for i in range(90)]
+    found = suffix_dedup.dedup(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in found.collect()]
+    assert sorted(rows) == sorted(brute_repeats([(i, t.encode()) for i, t in made]))
+    replies = [x.home for x in seen[0].filter("part >= 0").select("home").collect()]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(set(replies)) > 20 and len(replies) <= len(set(replies)) * (n + 1)  # one more for what a group settles by itself
+
+
+def test_anchors_of_equal_strings_are_equal():
+    r = np.random.default_rng(3)
+    for n, cut in ((0, 1), (49, 1), (300, 7), (70000, 9), (140000, 300)):
+        flat = r.integers(97, 100, n).astype(np.uint8)
+        flat[n // 2 :] = flat[: n - n // 2]
+        bounds = np.sort(np.concatenate([[0, n], r.integers(0, n + 1, cut)]))
+        open_ = r.random(n) < 0.9
+        for o in (None, open_):
+            h, doc, start, size = suffix_dedup.anchors(flat, bounds, o)
+            at = np.concatenate([[0], *(np.arange(a, a + k) for a, k in zip(start, size))]).astype(int)[1:]
+            whole = np.concatenate([[0], *(np.arange(a, b - 49) for a, b in zip(bounds, bounds[1:]))]).astype(int)[1:]
+            assert at.tolist() == [k for k in whole.tolist() if o is None or o[k]]
+            owner = np.repeat(doc, size)
+            assert ((bounds[owner] <= at) & (at + 50 <= bounds[owner + 1])).all()
+            of = {}
+            assert all(of.setdefault(flat[k : k + 50].tobytes(), x) == x for k, x in zip(at.tolist(), np.repeat(h, size).tolist()))
+
+
 def test_refined_pointers_are_the_order_of_suffixes():
     r = np.random.default_rng(0)
     for _ in range(60):
