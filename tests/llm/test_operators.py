@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -266,6 +267,16 @@ def test_pipeline_s_suffix_dedup_sends_common_passages_once(spark, monkeypatch):
     assert 1 < shuffled_bytes(found) / sum(len(t) for _, t in made) < 9
 
 
+def test_no_text_is_sent_for_phrases_of_20_bytes():
+    r = random.Random(3)
+    some = ["".join(r.choices("abcdefgh", k=20)) for _ in range(40)]
+    made = ["".join(r.choice(some) + f"{r.randrange(10**12):012d}" for _ in range(40)).encode() for _ in range(100)]
+    flat, bounds = np.frombuffer(b"".join(made), np.uint8), np.cumsum([0, *map(len, made)])
+    h, doc, _, _ = suffix_dedup.anchors(flat, bounds)
+    held = Counter(x for x, _ in set(zip(h.tolist(), doc.tolist())))
+    assert len(held) > 1000 and max(held.values()) < 5  # 24 bytes with 4 digits meet by chance
+
+
 def test_suffix_dedup_sends_copies_and_common_passages_once(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOME_BYTES", 600)
     r = random.Random(0)
